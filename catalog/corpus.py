@@ -128,17 +128,18 @@ REPORT = _lines(
     "'Metrics, trend, forecast, risk assessment, next steps'",
 )
 
+ORDER_COLUMNS = (
+    f"'order-' || {_KEY} AS doc_id",
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'invoice' WHEN '2-HIGH' THEN 'purchase_order' "
+    "WHEN '3-MEDIUM' THEN 'receipt' ELSE 'unclassified' END AS expected_category",
+    f"CASE o_orderpriority WHEN '1-URGENT' THEN {INVOICE} WHEN '2-HIGH' THEN {PURCHASE_ORDER} "
+    f"WHEN '3-MEDIUM' THEN {RECEIPT} WHEN '4-NOT SPECIFIED' THEN {WEAK} "
+    f"ELSE {INVOICE} || {NL} || 'Paid in full' END AS text",
+)
+ORDER_TEXTS = f"SELECT {', '.join(ORDER_COLUMNS)} FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey"
+
 RENDERED = f"""
-SELECT 'order-' || {_KEY} AS doc_id,
-       CASE o_orderpriority WHEN '1-URGENT' THEN 'invoice' WHEN '2-HIGH' THEN 'purchase_order'
-         WHEN '3-MEDIUM' THEN 'receipt' ELSE 'unclassified' END AS expected_category,
-       CASE o_orderpriority
-         WHEN '1-URGENT' THEN {INVOICE}
-         WHEN '2-HIGH' THEN {PURCHASE_ORDER}
-         WHEN '3-MEDIUM' THEN {RECEIPT}
-         WHEN '4-NOT SPECIFIED' THEN {WEAK}
-         ELSE {INVOICE} || {NL} || 'Paid in full' END AS text
-FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
+{ORDER_TEXTS}
 UNION ALL
 SELECT 'customer-' || CAST(c_custkey AS STRING),
        CASE WHEN c_mktsegment = 'BUILDING' THEN 'resume' ELSE 'bank_statement' END,
@@ -194,6 +195,10 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_spark(spark, sf_dir, RENDERED)
 
 
+def order_texts(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(*ORDER_COLUMNS)
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_spark(spark, sf_dir, ORDER_FILES).withColumn("content", F.unhex("head"))
 

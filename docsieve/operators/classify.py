@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.functions.binding import computed_once
 from docsieve.functions.regex import first_match
 from docsieve.functions.scoring import (
     EXCLUSION_FACTOR, best_score, category_scores, confidence_text, escalation_reason, keyword_hits)
@@ -33,7 +34,7 @@ def classification(best: Column, rules: RuleSet) -> Column:
 
 def classify(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
     """Add the classification columns. One scan of the text, no shuffle, no Python."""
-    scored = df.withColumn("_best", best_score(category_scores(F.col(text), rules)))
+    scored = computed_once(df, "_best", best_score(category_scores(F.col(text), rules)))
     decided = scored.withColumn("_decision", classification(F.col("_best"), rules))
     return decided.select("*", "_decision.*").drop("_best", "_decision", "confidence_text")
 
@@ -53,7 +54,7 @@ def field_map(text: Column, category: Column, rules: RuleSet) -> Column:
 
 def extract_fields(df: DataFrame, rules: RuleSet, text: str = "text",
                    category: str = "document_category") -> DataFrame:
-    return df.withColumn("extracted_fields", field_map(F.col(text), F.col(category), rules))
+    return computed_once(df, "extracted_fields", field_map(F.col(text), F.col(category), rules))
 
 
 def explain_scores(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:

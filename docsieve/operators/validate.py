@@ -14,7 +14,8 @@ def missing_fields(category: Column, fields: Column, rules: RuleSet) -> Column:
     """Mandatory fields of the category without a usable value, in dictionary order."""
     mandatory = constant({c.slug: c.mandatory for c in rules}, "map<string,array<string>>")
     required = F.coalesce(F.try_element_at(mandatory, category), F.array().cast("array<string>"))
-    return F.filter(required, lambda f: F.coalesce(py_strip(F.try_element_at(fields, f)), F.lit("")) == "")
+    return let(fields, lambda found: F.filter(
+        required, lambda f: F.coalesce(py_strip(F.try_element_at(found, f)), F.lit("")) == ""))
 
 
 def validate(df: DataFrame, rules: RuleSet) -> DataFrame:

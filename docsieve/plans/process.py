@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.functions.binding import computed_once
 from docsieve.functions.rounding import round_exact
 from docsieve.functions.scoring import best_score, category_scores
 from docsieve.operators.classify import classification, field_map
@@ -49,15 +50,14 @@ def classify_state(df: DataFrame, rules: RuleSet,
         F.coalesce(text, F.lit("")) == "", F.lit(NO_TEXT))
     flagged = df.withColumn("pipeline_error", error)
     runs = F.col("pipeline_error").isNull()
-    scored = flagged.withColumn("_best", best_score(category_scores(F.when(runs, text), rules)))
+    scored = computed_once(flagged, "_best", best_score(category_scores(F.when(runs, text), rules)))
     decided = scored.withColumn("_decision", F.when(runs, classification(F.col("_best"), rules)))
     reason = F.col("_decision.llm_escalation_reason")
-    fields = field_map(text, F.col("_decision.document_category"), rules)
     # Whole documents are masked before the prompt takes its leading characters.
     shown = redacted(text, privacy) if privacy else text
-    return decided.withColumns({
+    fields = F.when(runs, field_map(text, F.col("_decision.document_category"), rules))
+    return computed_once(decided, "extracted_fields", fields).withColumns({
         **{c: F.col(f"_decision.{c}") for c in _DECIDED},
-        "extracted_fields": F.when(runs, fields),
         "fallback_prompt": F.when(runs & (F.coalesce(reason, F.lit("")) != ""), prompt(
             shown, reason, F.col("_decision.confidence_text"), rules)),
     }).drop("_best", "_decision")
