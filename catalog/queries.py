@@ -28,7 +28,7 @@ from docsieve.plans.quality import (
     acceptance, audit_with_results, confusion, confusion_matrix, feedback_records, integrity_breaches,
     misfiring_keywords, missing_keywords, run_metrics, windowed_metrics)
 from docsieve.rules import load_rules
-from docsieve.session import checkpoint_folder, spread
+from docsieve.session import checkpoint_folder, spread, stage
 from docsieve.sinks.tables import read_audit
 from docsieve.sources.documents import from_text
 from docsieve.sources.rule_tables import category_table, mandatory_table, small
@@ -118,8 +118,8 @@ def mandatory_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 def missing_mandatory(spark: SparkSession, sf: str) -> DataFrame:
     """The same as an anti join: required (document, field) pairs without an extracted value."""
-    found = extract_fields(classify(corpus(spark, sf), RULES), RULES).select(
-        "doc_id", F.col("document_category").alias("category"), "extracted_fields")
+    found = stage(extract_fields(classify(corpus(spark, sf), RULES), RULES).select(
+        "doc_id", F.col("document_category").alias("category"), "extracted_fields"), "found")
     n = sum(len(c.mandatory) for c in RULES)
     required = found.join(small(mandatory_table(spark, RULES), n), "category").select(
         "doc_id", "category", "field")
@@ -284,7 +284,7 @@ def audit_from_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audit_output_join(spark: SparkSession, sf: str) -> DataFrame:
-    state = _state(rendered(spark, sf))
+    state = stage(_state(rendered(spark, sf)), "state")  # both sides read the one written table
     return audit_with_results(audit_records(state), payload(state)).select(
         "document_id", "classification_result", "document_category", "confidence_score",
         "validation_outcome", "validation_status")
