@@ -1,0 +1,72 @@
+"""The plans themselves: no shuffle, no Python and one scan of the text on the rule path."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from docsieve import audit_records, classify, from_text, payload, process
+from docsieve.operators.classify import keyword_evidence
+from docsieve.plans.quality import integrity_breaches
+from docsieve.session import spread, stage
+
+
+def table(spark, tmp_path):
+    path = f"{tmp_path}/docs"
+    spark.range(20).select(F.col("id").cast("string").alias("doc_id"), F.lit("invoice").alias("text"), F.lit("x").alias("unused")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans_of_text(text):
+    return len(re.findall(r"regexp_extract_all\(lower", text))
+
+
+def test_rule_path_is_one_narrow_pass(spark, rules, tmp_path):
+    docs = table(spark, tmp_path)
+    for df in (classify(docs.select("doc_id", "text"), rules),
+               payload(process(from_text(docs, "text", "doc_id", "doc_id"), rules)),
+               audit_records(process(from_text(docs, "text", "doc_id", "doc_id"), rules))):
+        text = plan(df)
+        assert "Exchange" not in text and "Python" not in text and "Join" not in text
+        assert scans_of_text(text) == 1
+        assert "ReadSchema: struct<doc_id:string,text:string>" in text
+
+
+def test_filters_do_not_repeat_the_scoring(spark, rules, tmp_path):
+    decided = classify(table(spark, tmp_path), rules)
+    text = plan(decided.filter("document_category = 'invoice' and classification_confidence > 0.5").groupBy("document_category").count())
+    assert scans_of_text(text) == 1
+    assert plan(decided.filter("doc_id = '3'")).count("PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3)]") == 1
+
+
+def test_evidence_joins_hits_not_texts(spark, rules, tmp_path):
+    text = plan(keyword_evidence(table(spark, tmp_path), rules, "doc_id"))
+    assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_unused_prompt_is_pruned(spark, rules, tmp_path):
+    text = plan(audit_records(process(from_text(table(spark, tmp_path), "text", "doc_id", "doc_id"), rules)))
+    assert "Classify this document" not in text
+
+
+def test_integrity_is_one_shuffle(spark, tmp_path):
+    docs = table(spark, tmp_path)
+    assert plan(integrity_breaches(docs, docs, "doc_id")).count("Exchange hashpartitioning") == 1
+
+
+def test_python_only_where_a_parser_runs(spark, rules):
+    files = spark.createDataFrame([("a.pdf", b"x")], "source_filename string, content binary")
+    text = plan(process(files, rules))
+    assert text.count("ArrowEvalPython") == 1 and "Exchange" not in text
+
+
+def test_spread_and_stage(spark, tmp_path):
+    docs = table(spark, tmp_path)
+    assert spread(docs, 1) is docs
+    assert spread(docs, 50).rdd.getNumPartitions() == 50
+    staged = stage(docs, "docs")
+    assert staged.count() == 20 and staged.schema == docs.schema
+    assert spark.conf.get("spark.checkpoint.dir") in staged.inputFiles()[0]

@@ -1,0 +1,81 @@
+from pyspark.sql import functions as F
+
+from docsieve import keyword_evidence
+from docsieve.operators.redact import PrivacyRule, flag_privacy, load_privacy_rules, privacy_counts, redacted
+from docsieve.plans.quality import (
+    acceptance, audit_with_results, confusion, confusion_matrix, feedback_records, integrity_breaches,
+    misfiring_keywords, missing_keywords, run_metrics, windowed_metrics)
+from docsieve.schemas import FEEDBACK
+from docsieve.sinks.tables import write_feedback
+
+AUDIT = ("document_id string, timestamp timestamp, extraction_method string, llm_escalation_reason string, llm_unavailable boolean, "
+         "classification_result string, confidence_score double, validation_outcome string, processing_duration_ms bigint, parse_error string")
+
+
+def audit(spark):
+    rows = [("1", 0, "deterministic", None, False, "invoice", 0.9, "passed", 10, None), ("2", 60, "llm_fallback", "low", False, "report", 0.5, "partial", 20, None),
+            ("3", 4000, "unclassified", "low", True, "unclassified", 0.1, "passed", 30, None), ("4", 4001, "unclassified", None, False, "unclassified", 0.0, "failed", 40, "bad")]
+    return spark.createDataFrame(rows, AUDIT.replace("timestamp timestamp", "at bigint")).withColumn("timestamp", F.timestamp_seconds("at")).drop("at")
+
+
+def test_metrics(spark):
+    r = run_metrics(audit(spark)).first()
+    assert (r.documents, r.fallback_rate, r.fallback_unavailable_rate, r.validation_failure_rate, r.mean_duration_ms) == (4, 0.5, 0.25, 0.5, 25.0)
+    hours = windowed_metrics(audit(spark)).orderBy("window.start").collect()
+    assert [(h.documents, h.fallback_rate) for h in hours] == [(2, 0.5), (2, 0.5)]
+
+
+def test_metrics_over_a_stream(spark, tmp_path):
+    audit(spark).write.parquet(f"{tmp_path}/audit")
+    stream = spark.readStream.schema(audit(spark).schema).parquet(f"{tmp_path}/audit")
+    query = (windowed_metrics(stream, watermark="1 minute").writeStream.outputMode("append").format("parquet")
+             .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/m"))
+    query.awaitTermination()
+    assert [r.documents for r in spark.read.parquet(f"{tmp_path}/m").collect()] == [2]
+
+
+def test_acceptance(spark):
+    expected = spark.createDataFrame([("1", "invoice"), ("2", "invoice"), ("3", "memo"), ("4", "x")], "document_id string, expected_category string")
+    r = acceptance(audit(spark), expected).first()
+    assert (r.documents, r.deterministic_rate, r.correct_rate, r.fallback_rate, r.parse_rate, r.completion_rate) == (4, 0.25, 0.25, 0.5, 0.75, 1.0)
+
+
+def test_integrity(spark):
+    docs = spark.createDataFrame([("1",), ("2",), ("3",), ("3",)], "document_id string")
+    entries = spark.createDataFrame([("1",), ("3",), ("4",), ("1",)] + [("9",)] * 500, "document_id string")
+    got = {r.document_id: (r.documents, r.audit_entries) for r in integrity_breaches(docs, entries).collect()}
+    assert got == {"1": (1, 2), "2": (1, 0), "3": (2, 1), "4": (0, 1), "9": (0, 500)}
+
+
+RESULTS = "document_id string, source_filename string, document_category string, classification_confidence double, matched_keywords array<string>, validation_status string"
+
+
+def test_feedback(spark, rules, tmp_path):
+    texts = spark.createDataFrame([("1", "invoice number bill to"), ("2", "receipt paid store"), ("3", "quiet")], "document_id string, text string")
+    results = spark.createDataFrame([("1", "a", "invoice", 0.9, ["invoice", "bill to"], "valid"), ("2", "b", "invoice", 0.6, ["invoice"], "partial"), ("3", "c", "unclassified", 0.0, [], "valid")], RESULTS)
+    reviews = spark.createDataFrame([("1", "invoice"), ("2", "receipt"), ("3", "report")], "document_id string, reviewer_correct_category string")
+    feedback = feedback_records(results, reviews)
+    assert [c.split()[0] for c in FEEDBACK.split(", ")] == feedback.columns
+    assert {(r.predicted_category, r.reviewer_correct_category): r.documents for r in confusion(feedback).collect()} == {
+        ("invoice", "invoice"): 1, ("invoice", "receipt"): 1, ("unclassified", "report"): 1}
+    matrix = {r.predicted_category: (r.invoice, r.receipt) for r in confusion_matrix(feedback, ["invoice", "receipt"]).collect()}
+    assert matrix == {"invoice": (1, 1), "unclassified": (0, 0)}
+    assert {r.keyword: (r.matches, r.misfires) for r in misfiring_keywords(feedback).collect()} == {"invoice": (2, 1), "bill to": (1, 0)}
+    gaps = missing_keywords(feedback, keyword_evidence(texts, rules, "document_id")).collect()
+    assert {(r.reviewer_correct_category, r.keyword) for r in gaps} == {("receipt", k) for k in ("receipt", "paid", "store")}
+    for _ in range(2):
+        write_feedback(feedback, f"{tmp_path}/f")
+    assert spark.read.schema(FEEDBACK).json(f"{tmp_path}/f").count() == 6
+    assert audit_with_results(audit(spark), results).count() == 3
+
+
+def test_privacy(spark):
+    rules = load_privacy_rules()
+    text = "Dr. Ann Lee, ann@x.org, GB29NWBK60161331926819, 4111 1111 1111 1111, 078-05-1120, (555) 123-4567, 12345678"
+    df = spark.createDataFrame([(text,), ("nothing here",), (None,)], "text string")
+    rows = flag_privacy(df).collect()
+    assert rows[0].privacy_flags == [r.label for r in rules] and rows[1].privacy_flags == []
+    masked = df.select(redacted(F.col("text"), rules).alias("t")).collect()
+    assert masked[0].t == "[NAME], [EMAIL], [IBAN], [CARD], [NATIONAL_ID],[PHONE], [ACCOUNT]" and masked[1].t == "nothing here"
+    own = (PrivacyRule("CODE", r"[A-Z]{3}-\d+"),)
+    assert spark.createDataFrame([("ABC-1 abc-2 XYZ-3",)], "t string").select(privacy_counts(F.col("t"), own).alias("n")).first().n.code == 2
