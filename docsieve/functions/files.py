@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docsieve.functions.binding import let
+
 # Extension and MIME lists of the file gate.
 BLOCKED_EXTENSIONS = (".exe", ".dll", ".bat", ".cmd", ".com", ".msi", ".scr", ".ps1", ".sh", ".vbs", ".js")
 DOCUMENT_EXTENSIONS = (".pdf", ".docx", ".pptx", ".png", ".jpg", ".jpeg", ".tiff", ".tif")
@@ -124,7 +126,10 @@ def _hex_head(content: Column, n_bytes: int) -> Column:
 
 def mime_type(content: Column) -> Column:
     """MIME type from the leading bytes; NULL when no signature fits."""
-    head = _hex_head(content, _HEAD_BYTES)
+    return let(_hex_head(content, _HEAD_BYTES), lambda head: _mime_of(head, content))
+
+
+def _mime_of(head: Column, content: Column) -> Column:
     zip_head = _hex_head(content, _ZIP_HEAD_BYTES)
     office = reduce(
         lambda chain, row: chain.when(

@@ -21,14 +21,23 @@ _CLASS_BODY = {
     "w": r"\p{L}\p{N}_",
 }
 
-_TOKEN = re.compile(r"\\.|\(\?P<|\(\?P=(\w+)\)|\[|\]|A-Z|&&|.", re.DOTALL)
+# The non-ASCII characters that Python takes for an ASCII letter when case is ignored.
+_ALSO = {"i": r"\u0130\u0131", "k": r"\u212a", "s": r"\u017f"}
+
+_TOKEN = re.compile(r"\\.|\(\?P<\w+>|\(\?P=(\w+)\)|\(\?[a-zA-Z-]*[:)]|\[|\]|[a-zA-Z]-[a-zA-Z]|&&|.", re.DOTALL)
 
 
 def java_regex(pattern: str, ignore_case: bool = True) -> str:
     """Spell a Python pattern for Java's engine.
 
-    Flags: ``i`` and ``u`` for Unicode case folding, ``d`` so that only a line feed ends a line.
+    Only a line feed ends a line (flag ``d``). Unicode case folding (flag ``u``) makes every letter
+    comparison several times slower in Java, so it is used only for patterns that need it; in others
+    the few non-ASCII characters that fold to an ASCII letter are spelled out.
     """
+    folds = ignore_case and (
+        "(?P=" in pattern or re.search(r"\\[1-9]", pattern) is not None
+        or any(c > "\x7f" and c.lower() != c.upper() for c in pattern))
+    spell = ignore_case and not folds
     out, in_class, start = [], False, -1
     for match in _TOKEN.finditer(pattern):
         token, at = match.group(), match.start()
@@ -52,16 +61,69 @@ def java_regex(pattern: str, ignore_case: bool = True) -> str:
                 token = "\\" + token
             elif token == "&&":
                 token = r"&\&"
-            elif token == "A-Z" and ignore_case:
-                token = "A-Za-z"  # with case ignored Python's A-Z also takes U+0130 and U+0131
+            elif len(token) == 3 and ignore_case:
+                inside = [c for c in _ALSO if token[0].lower() <= c <= token[2].lower()]
+                token += "".join(_ALSO[c] for c in inside)
+            elif spell:
+                token += _ALSO.get(token.lower(), "")
         elif token == "[":
             in_class, start = True, at
-        elif token == "(?P<":
-            token = "(?<"
+        elif token.startswith("(?P<"):
+            token = "(?<" + token[4:]
         elif match.group(1):
             token = rf"\k<{match.group(1)}>"
+        elif spell and not token.startswith("("):
+            token = re.sub("[iksIKS]", lambda m: f"[{m.group()}{_ALSO[m.group().lower()]}]", token)
         out.append(token)
-    return ("(?iud)" if ignore_case else "(?d)") + "".join(out)
+    flags = "(?iud)" if folds else "(?id)" if ignore_case else "(?d)"
+    return flags + "".join(out)
+
+
+_HEAD = re.compile(r"(\(\?i\))?\(\?:")
+_OPTIONAL_NEXT = ("?", "*", "{")
+
+
+def with_first_letter_guard(pattern: str) -> str:
+    """Put a look-ahead on the first letters before a leading group of alternatives.
+
+    ``(?:due|pay|terms)`` is tried word by word at every position; ``(?=[dpt])`` rejects most
+    positions in one step. Nothing else changes, and a head that is not plain words is left alone.
+    """
+    head = _HEAD.match(pattern)
+    if not head:
+        return pattern
+    letters, anchored, depth, at_start = set(), False, 1, True
+    tokens = list(_TOKEN.finditer(pattern, head.end()))
+    skip_class = False
+    for n, match in enumerate(tokens):
+        token = match.group()
+        following = tokens[n + 1].group() if n + 1 < len(tokens) else ""
+        if at_start and depth == 1:
+            if token == "^":
+                anchored = True
+            elif token.isalpha() and len(token) == 1 and following not in _OPTIONAL_NEXT:
+                letters.add(token.lower())
+            else:
+                return pattern
+            at_start = False
+        elif skip_class:
+            skip_class = token != "]"
+        elif token == "[":
+            skip_class = True
+        elif token.startswith("("):
+            depth += 1
+        elif token == "|" and depth == 1:
+            at_start = True
+        elif token == ")":
+            depth -= 1
+            if depth == 0:
+                if following in _OPTIONAL_NEXT or not letters:
+                    return pattern
+                guard = f"(?=[{''.join(sorted(letters))}])"
+                guard = f"(?:^|{guard})" if anchored else guard
+                start = len(head.group(1) or "")
+                return pattern[:start] + guard + pattern[start:]
+    return pattern
 
 
 def py_strip(value: Column) -> Column:
@@ -70,8 +132,11 @@ def py_strip(value: Column) -> Column:
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a Python pattern, stripped; NULL when nothing usable was captured."""
-    return F.nullif(py_strip(F.regexp_extract(text, java_regex(pattern), group)), F.lit(""))
+    """First match of a Python pattern, stripped; '' when nothing usable was captured.
+
+    Callers filter on '' themselves: ``nullif`` here would be expanded to two evaluations.
+    """
+    return py_strip(F.regexp_extract(text, java_regex(with_first_letter_guard(pattern)), group))
 
 
 def _quote(char: str) -> str:
@@ -82,7 +147,8 @@ def _char_class(chars: Iterable[str]) -> str:
     return "[" + "".join(map(_quote, sorted(set(chars)))) + "]"
 
 
-def _trie(words: Iterable[str]) -> str:
+def _trie(words: Iterable[str], guard_from: int = 4) -> str:
+    """Words as nested alternatives; wide branches first check the next letter in one step."""
     branches: dict[str, list[str]] = {}
     ends = False
     for word in words:
@@ -93,10 +159,13 @@ def _trie(words: Iterable[str]) -> str:
     if not branches:
         return ""
     body = "|".join(_quote(c) + _trie(rest) for c, rest in sorted(branches.items()))
-    return f"(?:{body})?" if ends else f"(?:{body})" if len(branches) > 1 else body
+    if len(branches) > 1:
+        guard = f"(?={_char_class(branches)})" if len(branches) >= guard_from else ""
+        body = f"{guard}(?:{body})"
+    return f"(?:{body})?" if ends else body
 
 
-def any_word_pattern(words: Iterable[str], letters_per_group: int = 6) -> str:
+def any_word_pattern(words: Iterable[str], letters_per_group: int = 8) -> str:
     """Pattern whose group 1 is, at every position, the longest of the words that starts there.
 
     The match itself is empty, so overlapping words are all seen in a single pass whose cost does

@@ -53,14 +53,15 @@ def _vocabulary(rules: RuleSet) -> list[str]:
 def keyword_hits(low: Column, rules: RuleSet) -> Column:
     """Distinct keywords of any category or tier that occur in the lower-cased text as substrings."""
     words = _vocabulary(rules)
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit(any_word_pattern(words)), F.lit(1)))
+    found = F.regexp_extract_all(low, F.lit(any_word_pattern(words)), F.lit(1))
     # The pattern reports the longest word at a position; the words it starts with occur there too.
     shorter = {w: [v for v in words if v and v != w and w.startswith(v)] for w in words}
     shorter = {w: v for w, v in shorter.items() if v}
     if shorter:
-        prefixes = constant(shorter, "map<string,array<string>>")
-        found = let(found, lambda hits: F.array_distinct(F.concat(hits, F.flatten(F.filter(
-            F.transform(hits, lambda h: F.try_element_at(prefixes, h)), lambda v: v.isNotNull())))))
+        prefixes, longer = constant(shorter, "map<string,array<string>>"), F.lit(sorted(shorter))
+        found = let(found, lambda hits: F.concat(hits, F.flatten(F.transform(
+            F.array_intersect(hits, longer), lambda h: F.element_at(prefixes, h)))))
+    found = F.array_distinct(found)
     if "" in words:
         found = F.concat(found, F.array(F.lit("")))
     return found

@@ -47,7 +47,7 @@ def field_map(text: Column, category: Column, rules: RuleSet) -> Column:
         pairs = [x for p in c.patterns for x in (F.lit(p.field), first_match(text, p.pattern, p.group))]
         if not pairs:
             continue
-        found = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+        found = F.map_filter(F.create_map(*pairs), lambda _, v: v != "")
         chain = (F if chain is None else chain).when(category == c.slug, found)
     return empty if chain is None else chain.otherwise(empty)
 

@@ -15,7 +15,8 @@ from docsieve.functions.rounding import round_exact
 from docsieve.functions.scoring import best_score, category_scores
 from docsieve.operators.classify import classification, field_map
 from docsieve.operators.fallback import Infer, apply_fallback, prompt
-from docsieve.operators.parse import Parser, parse_documents
+from docsieve.operators.metadata import office_properties
+from docsieve.operators.parse import Parser, PropertyReader, parse_documents
 from docsieve.operators.redact import PrivacyRule, redacted
 from docsieve.operators.validate import validate
 from docsieve.rules import RuleSet, load_rules
@@ -65,6 +66,7 @@ def classify_state(df: DataFrame, rules: RuleSet,
 
 def prepare(df: DataFrame, rules: RuleSet, *, parser: Parser | None = None,
             parser_factory: Callable[[], Parser] | None = None,
+            properties: PropertyReader = office_properties,
             privacy: tuple[PrivacyRule, ...] | None = None, run_id: str | None = None,
             start_time_ms: int | None = None, keep_text: bool = False) -> DataFrame:
     """Everything up to the model: narrow state rows plus ``fallback_prompt``."""
@@ -75,7 +77,7 @@ def prepare(df: DataFrame, rules: RuleSet, *, parser: Parser | None = None,
     if "start_time_ms" not in df.columns:
         df = df.withColumn("start_time_ms", F.lit(started).cast("bigint"))
     if "content" in df.columns:
-        df = parse_documents(df, parser, parser_factory=parser_factory)
+        df = parse_documents(df, parser, parser_factory=parser_factory, properties=properties)
     state = classify_state(df, rules, privacy)
     missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if t and c not in state.columns}
     state = state.withColumns({**missing, "run_id": F.lit(run_id)})
