@@ -18,13 +18,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="docsieve-")
 
 
-def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def staging_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write a frame once and read it back: later actions neither recompute nor need lost executors."""
-    path = f"{folder or checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = path or staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged table through the file system it was written to."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread(scan: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows of a scan over at least as many tasks as there are cores.
 

@@ -102,8 +102,9 @@ def ingest(spark: SparkSession, watch_dir: str, *, results_path: str, audit_path
     store = rules or RuleStore()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        run_batch(batch, store.load(), results_path=results_path, audit_path=audit_path,
-                  run_id=f"{stream_id}-{batch_id:09d}", mode="overwrite", **options)
+        run = run_batch(batch, store.load(), results_path=results_path, audit_path=audit_path,
+                        run_id=f"{stream_id}-{batch_id:09d}", mode="overwrite", **options)
+        run.discard_staging()
 
     stream = DirectoryStream(
         spark, watch_dir, handle, recursive=recursive, checkpoint=checkpoint, keep_going=False,

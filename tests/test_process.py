@@ -121,6 +121,9 @@ def test_batch_run_with_a_model(spark, rules, tmp_path, concurrency):
     assert solved.llm_escalation_reason and solved.matched_keywords and solved.llm_unavailable is False
     assert by_name["none.pdf"].llm_unavailable is True
     assert {"process", "fallback", "audit", "results"} == set(run.seconds)
+    assert len(run.staged) == 2
+    run.discard_staging()
+    assert not run.staged and results.count() == audit.count() - 3
     line = json.loads(next(iter(open(next((tmp_path / "audit" / "run_id=run1").glob("part-*.json"))))))
     assert set(line) == {c.split()[0] for c in AUDIT.split(", ")}
 
