@@ -120,7 +120,8 @@ CONTRACT = _lines(
 REPORT = _lines(
     "'Quality Review Report'",
     "'Report Number: QR-' || CAST(p_partkey AS STRING) || ', Report ID as above'",
-    "'Report Date: 15/0' || CAST(1 + (p_size - 9 * CAST(floor(p_size / 9) AS INT)) AS STRING) || '/2024, date of report'",
+    "'Report Date: ' || CASE WHEN p_size > 40 THEN '2024-03-15' ELSE "
+    "'15/0' || CAST(1 + (p_size - 9 * CAST(floor(p_size / 9) AS INT)) AS STRING) || '/2024' END || ', date of report'",
     "'Prepared By: Quality Team, submitted by the lab'",
     "'Prepared For: ' || replace(p_brand, '#', ' ') || ', submitted to the board'",
     "'Executive Summary, Background, Overview, Scope, Objective, Methodology'",

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The characters Python counts as whitespace, also in str.strip().
 PY_WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -126,6 +131,57 @@ def with_first_letter_guard(pattern: str) -> str:
     return pattern
 
 
+_RUN_HEAD = re.compile(r"(\(\?i\))?\(?(\[\^?(?:\\.|[^\]\\])+\])\+(?![?+])")
+
+
+def with_run_guard(java: str, pattern: str) -> str:
+    """Let a pattern that begins with a run of one class start at the beginning of that run only.
+
+    If it matches from inside a run it also matches from the run's start, so nothing is lost, and a
+    long run without a match is scanned once in place of once per character.
+    """
+    head = _RUN_HEAD.match(pattern)
+    if not head or "|" in pattern:
+        return java
+    flags, rest = re.match(r"(\(\?[a-z]+\))(.*)", java, re.DOTALL).groups()
+    run = java_regex(head.group(2), ignore_case="i" in flags)
+    return f"{flags}(?:\\G|(?<!{run[run.index(')') + 1:]})){rest}"
+
+
+_GROUP_LOOP = re.compile(r"\)(?:\*|\+|\{\d+,\})(?![?+])")
+_OPTIONAL_TAIL = re.compile(r"\)*(?:\(\?:[^()|]*\)\?)?\)*$")
+
+
+def _mask(pattern: str) -> str:
+    """The pattern with escapes and classes blanked, so that only its structure is left."""
+    return re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", lambda m: "_" * len(m.group()), pattern)
+
+
+def recursive_loops(pattern: str) -> tuple[list[int], bool]:
+    """Ends of unbounded group loops that only optional parts follow, and whether others exist.
+
+    Java runs such loops by recursion, so a long enough text overflows the stack of the whole
+    executor. A loop that is never backtracked into can be made possessive, which Java iterates.
+    """
+    structure, tails, others = _mask(pattern), [], "*?" in _mask(pattern) and ")*?" in _mask(pattern)
+    for loop in _GROUP_LOOP.finditer(structure):
+        if _OPTIONAL_TAIL.match(structure[loop.end():]):
+            tails.append(loop.end())
+        else:
+            others = True
+    return tails, others or ")+?" in structure
+
+
+def _python_search(text: Column, pattern: str, group: int) -> Column:
+    @F.pandas_udf("string")
+    def search(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern, re.IGNORECASE)
+        found = (None if t is None else compiled.search(t) for t in texts)
+        return pd.Series([(m.group(group) or "").strip() if m else "" for m in found], dtype=object)
+
+    return search(text)
+
+
 def py_strip(value: Column) -> Column:
     """``str.strip()``: ``trim`` alone removes only spaces."""
     return F.btrim(value, F.lit(PY_WHITESPACE))
@@ -134,9 +190,18 @@ def py_strip(value: Column) -> Column:
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of a Python pattern, stripped; '' when nothing usable was captured.
 
-    Callers filter on '' themselves: ``nullif`` here would be expanded to two evaluations.
+    Callers filter on '' themselves: ``nullif`` here would be expanded to two evaluations. Only a
+    pattern whose loops Java would recurse into is searched in Python.
     """
-    return py_strip(F.regexp_extract(text, java_regex(with_first_letter_guard(pattern)), group))
+    tails, others = recursive_loops(pattern)
+    if others:
+        return _python_search(text, pattern, group)
+    guarded = with_first_letter_guard(pattern)
+    for end in reversed(tails):
+        end += len(guarded) - len(pattern)
+        guarded = guarded[:end] + "+" + guarded[end:]
+    java = with_run_guard(java_regex(guarded), pattern)
+    return py_strip(F.regexp_extract(text, java, group))
 
 
 def _quote(char: str) -> str:

@@ -9,7 +9,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions.regex import java_regex
+from docsieve.functions.regex import java_regex, with_run_guard
 from docsieve.rules import BUNDLED
 
 
@@ -30,7 +30,7 @@ def load_privacy_rules(path: str | Path = BUNDLED / "privacy.yaml") -> tuple[Pri
 
 def _regex(rule: PrivacyRule) -> str:
     # Privacy patterns state their own case: an upper-case initial is what marks a name.
-    return java_regex(rule.pattern, ignore_case=False)
+    return with_run_guard(java_regex(rule.pattern, ignore_case=False), rule.pattern)
 
 
 def privacy_counts(text: Column, rules: tuple[PrivacyRule, ...]) -> Column:

@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docsieve.functions.regex import any_word_pattern, first_match, java_regex, py_strip
+from docsieve.functions.regex import (
+    any_word_pattern, first_match, java_regex, py_strip, recursive_loops)
 from docsieve.operators.classify import extract_fields
 from docsieve.rules import Category, FieldPattern, RuleSet, load_rules
 from tests import plain
@@ -84,3 +85,31 @@ def test_word_pattern_is_empty_without_words(spark):
     df = spark.createDataFrame([("abc",)], "t string")
     assert df.select(F.regexp_extract_all("t", F.lit(any_word_pattern([])), F.lit(1)).alias("h")).first().h == []
     assert df.select(first_match(F.col("t"), "(z)").alias("v")).first().v == ""
+
+
+LOOPS = [r"(a(?:\.\d+)*(?:\s*[a-z])?)", r"((?:ab)+c)", r"((?:a|b)*?c)", r"(x(?:\d{2,}-)*)", r"([a-z.]+@[a-z]+)", r"(?i)([ab]+b)", r"((?:[)*]+x)*y)"]
+LOOP_TEXTS = ["a.1.22.333 b", "ababac ababc", "abbac", "x12-345-6-", "a.b@c d.@e @x", "aabab b", ")*x))xy", "a.1.", "abab", ""]
+
+
+def test_group_loops_agree_with_python(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(LOOP_TEXTS)], "id int, text string")
+    rows = df.select("id", *[first_match(F.col("text"), p).alias(str(n)) for n, p in enumerate(LOOPS)]).collect()
+    for r in rows:
+        for n, p in enumerate(LOOPS):
+            m = re.search(p, LOOP_TEXTS[r.id], re.IGNORECASE)
+            assert r[str(n)] == ((m.group(1) or "").strip() if m else ""), (p, LOOP_TEXTS[r.id])
+
+
+def test_no_bundled_pattern_needs_python():
+    for variant in ("standard", "corrected"):
+        assert not any(recursive_loops(p.pattern)[1] for c in load_rules(variant=variant) for p in c.patterns)
+    assert recursive_loops(r"((?:ab)+c)")[1] and not recursive_loops(r"(a[)*]*b)")[1]
+
+
+def test_hostile_texts_neither_overflow_nor_stall(spark, rules):
+    texts = ["version: 1" + ".1" * 50_000, "a." * 100_000, "x" * 200_000 + "@", "Aa " * 50_000, "statement period " * 5_000]
+    looping = Category(slug="loop", display_name="L", threshold=0.5, patterns=(FieldPattern("f", r"^((?:[a-z]\.)+)!"), FieldPattern("g", r"(a)")))
+    rows = [(slug, t) for slug in ("report", "resume", "bank_statement", "loop") for t in texts]
+    got = extract_fields(spark.createDataFrame(rows, "document_category string, text string"), RuleSet((*rules, looping))).collect()
+    assert len(got) == len(rows)
+    assert next(r for r in got if r.document_category == "report" and r.text[:8] == "version:").extracted_fields["version"] == texts[0][9:]
