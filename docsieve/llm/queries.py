@@ -3,18 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docsieve.llm import chat_format, exact_dedup, jaccard_join, mixing, quality_rules
+from docsieve.llm import (
+    chat_format, exact_dedup, html_extract, jaccard_join, mixing, quality_rules, sentencepiece_lattice, substring_dedup,
+    token_counts, toxicity)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.document_token_counts(_table(spark, sf, "documents")).select("doc_id", "n_tokens")
+
+
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = sentencepiece_lattice.load_pieces(PIECE_MODEL)
+    coded = sentencepiece_lattice.encode(_table(spark, sf, "documents"), pieces)
+    back = coded.withColumn("back", sentencepiece_lattice.decode(F.col("ids"), pieces))
+    marks = F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_lattice.SPACE), F.lit(" "))
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("back") == marks).alias(
+        "restored"))
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -28,6 +55,10 @@ def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.similar_groups(_table(spark, sf, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -36,11 +67,16 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
+    "op10_toxicity": op10_toxicity,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
