@@ -95,7 +95,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(both) and T_DEN * both >= T_NUM * (len(a) + len(b) - both)
 
 
-_PROFILE = "kind int, doc_id bigint, key bigint, key2 bigint, n bigint"
+#: Words of a parity bitmap: each bit says whether an odd number of a set's tokens hash to it.
+BITMAP = [f"b{i}" for i in range(8)]
+_PROFILE = "kind int, doc_id bigint, key bigint, key2 bigint, n bigint, " + ", ".join(f"{b} bigint" for b in BITMAP)
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +113,8 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def counted() -> pd.DataFrame:
         token, n = np.unique(np.concatenate(seen), return_counts=True)
         token, n = token[n > 1], n[n > 1]
-        return pd.DataFrame({"kind": 1, "doc_id": -1, "key": token.view(np.int64), "key2": 0, "n": n})
+        return pd.DataFrame({"kind": 1, "doc_id": -1, "key": token.view(np.int64), "key2": 0, "n": n}
+                            | dict.fromkeys(BITMAP, 0))
 
     for batch in batches:
         rows = []
@@ -114,7 +122,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tokens = shingle_set(text, cache)
             digest = hashlib.md5((text or "").encode("utf-8", "replace").lower()).digest()
             rows.append((0, doc_id, int.from_bytes(digest[:8], "big", signed=True),
-                         int.from_bytes(digest[8:], "big", signed=True), len(tokens)))
+                         int.from_bytes(digest[8:], "big", signed=True), len(tokens), *bitmap(tokens)))
             if digest not in done:
                 done.add(digest)
                 seen.append(tokens)
@@ -122,7 +130,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if held > 4_000_000:
                 yield counted()
                 seen, held = [], 0
-        out = pd.DataFrame(rows, columns=["kind", "doc_id", "key", "key2", "n"])
+        out = pd.DataFrame(rows, columns=["kind", "doc_id", "key", "key2", "n", *BITMAP])
         out["doc_id"] = batch["doc_id"].astype("Int64").to_numpy()
         yield out
     if seen:
@@ -199,6 +207,20 @@ def _compatible(a: str, b: str):
         top * n_a >= T_NUM * n_b) & (top * n_b >= T_NUM * n_a)
 
 
+def _may_match(a: str, b: str):
+    """Bits that differ are tokens that differ, so they bound the overlap of two sets from above."""
+    n_a, n_b = F.shiftright(F.col(a), 24), F.shiftright(F.col(b), 24)
+    differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in BITMAP), F.lit(0))
+    return (T_NUM + T_DEN) * (n_a + n_b - differ) >= 2 * T_NUM * (n_a + n_b)
+
+
+def _with_bits(pairs: DataFrame, bits: DataFrame, sides: str = "ab") -> DataFrame:
+    for side in sides:
+        pairs = pairs.join(bits.select(F.col("doc_id").alias(side), *[F.col(w).alias(f"{w}_{side}") for w in BITMAP]),
+                           side)
+    return pairs
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache, sets = WordHashes(), {}
 
@@ -243,8 +265,11 @@ def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = rows.groupBy("key", "key2").agg(F.min("doc_id").alias("dst"), F.count("*").alias("m")).where("m > 1")
     copies = rows.join(first.drop("m"), ["key", "key2"]).select(F.col("doc_id").alias("src"), "dst").where(
         "src <> dst")
-    stars = shared.where("doc_id <> hub").where(_compatible("packed", "hub_packed")).select(
-        F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    bits = profile.where("kind = 0 and n > 0 and doc_id is not null").select("doc_id", *BITMAP)
+    stars = shared.where("doc_id <> hub").where(_compatible("packed", "hub_packed")).groupBy(
+        F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(
+        F.first("packed").alias("packed"), F.first("hub_packed").alias("hub_packed"))
+    stars = _with_bits(stars, bits).where(_may_match("hub_packed", "packed")).select("a", "b").distinct()
     stars = stage(stars, "stars")
     near = verified(stars, by_id).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     links = stage(copies.union(near), "links")
@@ -255,11 +280,12 @@ def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = stage(placed, "placed")
     mixed_entries = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
         "x < y").select("sig")
-    open_rows = stage(placed.join(mixed_entries, "sig"), "open")
-    left = open_rows.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "packed", "component")])
-    right = open_rows.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "packed", "component")])
-    cross = left.join(right, "sig").where("component_a < component_b").where(
-        _compatible("packed_a", "packed_b")).select(
+    open_rows = stage(placed.join(mixed_entries, "sig").join(bits, "doc_id"), "open")
+    fields = ("doc_id", "packed", "component", *BITMAP)
+    left = open_rows.select("sig", *[F.col(c).alias(f"{c}_a") for c in fields])
+    right = open_rows.select("sig", *[F.col(c).alias(f"{c}_b") for c in fields])
+    cross = left.join(right, (left["sig"] == right["sig"]) & (F.col("component_a") < F.col("component_b"))
+                      & _compatible("packed_a", "packed_b") & _may_match("packed_a", "packed_b")).select(
         F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = stage(cross.join(tried, ["a", "b"], "left_anti"), "cross")

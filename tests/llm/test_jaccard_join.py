@@ -117,3 +117,13 @@ def test_set_of_long_text():
     cache = WordHashes()
     text = " ".join(str(i) for i in range(50_000))
     assert len(shingle_set(text, cache)) == 49_996
+
+
+def test_bitmap_never_rules_out_a_match():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 60, 400, 3000):
+        a = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: max(1, n - n // 8)], rng.integers(0, 2 ** 63, n // 9, dtype=np.uint64)]))
+        differ = sum(int(x).bit_count() for x in (
+            jaccard_join.bitmap(a) ^ jaccard_join.bitmap(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
