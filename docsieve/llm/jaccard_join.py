@@ -96,12 +96,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 #: Words of a parity bitmap: each bit says whether an odd number of a set's tokens hash to it.
-BITMAP = [f"b{i}" for i in range(8)]
+BITMAP = [f"b{i}" for i in range(32)]
+#: A coarser bitmap, folded from it, for rows of which there are many.
+COARSE = [f"c{i}" for i in range(8)]
 _PROFILE = "kind int, doc_id bigint, key bigint, key2 bigint, n bigint, " + ", ".join(f"{b} bigint" for b in BITMAP)
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
+    odd = np.bincount((tokens >> np.uint64(53)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -207,10 +209,10 @@ def _compatible(a: str, b: str):
         top * n_a >= T_NUM * n_b) & (top * n_b >= T_NUM * n_a)
 
 
-def _may_match(a: str, b: str):
+def _may_match(a: str, b: str, words: list[str] = BITMAP):
     """Bits that differ are tokens that differ, so they bound the overlap of two sets from above."""
     n_a, n_b = F.shiftright(F.col(a), 24), F.shiftright(F.col(b), 24)
-    differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in BITMAP), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
     return (T_NUM + T_DEN) * (n_a + n_b - differ) >= 2 * T_NUM * (n_a + n_b)
 
 
@@ -280,15 +282,22 @@ def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = stage(placed, "placed")
     mixed_entries = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
         "x < y").select("sig")
-    open_rows = stage(placed.join(mixed_entries, "sig").join(bits, "doc_id"), "open")
-    fields = ("doc_id", "packed", "component", *BITMAP)
+    coarse = bits.select("doc_id", *[F.col(f"b{i}").bitwiseXOR(F.col(f"b{i + 8}")).bitwiseXOR(F.col(
+        f"b{i + 16}")).bitwiseXOR(F.col(f"b{i + 24}")).alias(c) for i, c in enumerate(COARSE)])
+    open_rows = stage(placed.join(mixed_entries, "sig").join(coarse, "doc_id"), "open")
+    fields = ("doc_id", "packed", "component", *COARSE)
     left = open_rows.select("sig", *[F.col(c).alias(f"{c}_a") for c in fields])
     right = open_rows.select("sig", *[F.col(c).alias(f"{c}_b") for c in fields])
     cross = left.join(right, (left["sig"] == right["sig"]) & (F.col("component_a") < F.col("component_b"))
-                      & _compatible("packed_a", "packed_b") & _may_match("packed_a", "packed_b")).select(
-        F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+                      & _compatible("packed_a", "packed_b") & _may_match("packed_a", "packed_b", COARSE))
+    first_a = F.col("doc_id_a") < F.col("doc_id_b")
+    cross = cross.groupBy(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).agg(
+        F.first(F.when(first_a, F.col("packed_a")).otherwise(F.col("packed_b"))).alias("packed_a"),
+        F.first(F.when(first_a, F.col("packed_b")).otherwise(F.col("packed_a"))).alias("packed_b"))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = stage(cross.join(tried, ["a", "b"], "left_anti"), "cross")
+    cross = _with_bits(cross.join(tried, ["a", "b"], "left_anti"), bits).where(
+        _may_match("packed_a", "packed_b")).select("a", "b").distinct()
+    cross = stage(cross, "cross")
     more = verified(cross, by_id).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return profile.where("kind = 0").select("doc_id", "n"), links.union(stage(more, "links"))
 
