@@ -61,7 +61,7 @@ def parse_reply(reply: str, slugs: frozenset[str]) -> tuple[str, float] | None:
     try:
         data = json.loads(reply.strip())
         slug, score = data.get("category"), float(data.get("confidence"))
-    except (ValueError, TypeError, AttributeError, OverflowError):
+    except (ValueError, TypeError, AttributeError, OverflowError, RecursionError):
         return None
     if not isinstance(slug, str) or slug not in slugs:
         return None

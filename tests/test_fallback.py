@@ -97,3 +97,8 @@ def test_outcomes(spark, rules):
         ("resume", "llm_fallback", 0.9, False), ("unclassified", "unclassified", 0.2, True), ("invoice", "deterministic", 0.9, None)]
     for none in (apply_fallback(df, rules, None), apply_fallback(df, RuleSet(), lambda ps: [])):
         assert [r.llm_unavailable for r in none.collect()] == [True, True, None]
+
+
+@pytest.mark.parametrize("reply", ["[" * 200_000, '{"a":' * 200_000, '{"category": ' + "[" * 200_000])
+def test_deeply_nested_reply_is_unusable(reply):
+    assert parse_reply(reply, frozenset({"invoice"})) is None
