@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The distinct words of the corpus (a word starts with its space marks; no piece spans two words, which is checked)
-are exploded into substrings of bounded length and joined with the piece table, a broadcast of the vocabulary's
-fixed size. The edges of a word are grouped and folded with a higher-order aggregate: Viterbi for a unigram model, and
+The distinct words of the corpus are exploded into substrings of bounded length and joined with the piece table, a
+broadcast of the vocabulary's fixed size. A word starts with its space marks and ends where the class of characters
+changes, if no piece of the table spans such a change, and otherwise at the next space; either way no piece spans two
+words, which is checked. The words are shuffled once and their edges never: exploding and joining keep them where they
+are. The edges of a word are grouped and folded with a higher-order aggregate: Viterbi for a unigram model, and
 for a BPE model, whose segmentation no best path gives, the merges in order of their score. Words longer than
 LONGEST_WORD characters, few in number, take the same merges or path in a Python task, in bounded steps.
 
@@ -33,6 +35,8 @@ from docsieve.session import stage, staging_path
 SPACE = "▁"
 LONGEST_WORD = 48
 _WORD = re.compile(f"[\n\t]|{SPACE}*[^{SPACE}\n\t]+|{SPACE}+")
+#: Cuts as well between letters, each digit, and other characters, among them superscript digits.
+_FINE = re.compile(rf"[\n\t]|{SPACE}*(?:\d|[^\W\d_{SPACE}¹²³]+|(?:[^\w{SPACE}\n\t]|[_¹²³])+)|{SPACE}+")
 _UNKNOWN_COST = 10.0
 
 
@@ -48,10 +52,14 @@ class Pieces:
     control: frozenset[int]
 
     def __post_init__(self) -> None:
-        for i, p in enumerate(self.text):
-            if self.usable(i) and len(p) > 1 and (SPACE in p.lstrip(SPACE) or "\n" in p or "\t" in p):
+        for p in self.ids():
+            if len(_WORD.findall(p)) != 1:
                 raise ValueError(f"piece {p!r} spans words")
 
+    def pattern(self) -> re.Pattern:
+        """The finer division into words, unless a piece spans two of its words."""
+        return _FINE if all(len(_FINE.findall(p)) == 1 for p in self.ids()) else _WORD
+
     def usable(self, i: int) -> bool:
         in_bytes = self.byte0 is not None and self.byte0 <= i < self.byte0 + 256
         return not in_bytes and i != self.unknown and i not in self.control
@@ -83,13 +91,16 @@ def load_pieces(model_file: str, kind: str = "bpe") -> Pieces:
                   byte[0] if byte else None, sp.unk_id(), frozenset(i for i in range(n) if sp.is_control(i)))
 
 
-def split_text(text: str | None) -> list[str]:
-    return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def split_text(text: str | None, pattern: re.Pattern = _WORD) -> list[str]:
+    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 class _SplitWords:
     """The distinct words of each input split."""
 
+    def __init__(self, pattern: re.Pattern) -> None:
+        self.pattern = pattern
+
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[str] = set()
         split = None
@@ -97,30 +108,35 @@ class _SplitWords:
             for part, rows in batch.groupby("split", sort=False):
                 if part != split:
                     split, seen = part, set()
-                new = set(chain.from_iterable(map(split_text, rows["text"]))) - seen
+                new = set(chain.from_iterable(split_text(t, self.pattern) for t in rows["text"])) - seen
                 seen |= new
                 yield pd.DataFrame({"word": pd.Series(sorted(new), dtype=object), "split": split})
 
 
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, splits, edges: the pieces (start, len, id, rank, score) inside each word."""
+    """word, splits, edges: the pieces (place, id, rank, score) inside each word, the place as at * 64 + len.
+
+    ``words`` is already distributed by word, so grouping needs no exchange; only the first row of a word
+    carries its splits. Words above LONGEST_WORD get no edges.
+    """
     spark = words.sparkSession
     rank = pieces.rank()
     table = spark.createDataFrame(
         [(p, i, rank[i], float(pieces.score[i])) for p, i in pieces.ids().items()],
         "piece string, id int, rank int, score double")
     longest = max(map(len, pieces.ids()))
-    n = F.length("word")
+    n = F.when(F.length("word") <= LONGEST_WORD, F.length("word")).otherwise(1)
     spots = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.struct(
-            i.alias("at"), k.alias("len")))))
-    parts = words.select("word", "splits", F.explode(spots).alias("s")).select(
-        "word", "splits", F.col("s.at").alias("at"), F.col("s.len").alias("len"),
-        F.expr("substring(word, s.at, s.len)").alias("piece"))
+        F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: (i * 64 + k))))
+    parts = words.select("word", "splits", F.explode(spots).alias("place")).select(
+        "word", F.when(F.col("place") == 65, F.col("splits")).alias("splits"), "place",
+        F.expr("substring(word, div(place, 64), place % 64)").alias("piece"))
     # The table has one row per piece of the model: a fixed size.
-    found = parts.join(F.broadcast(table), "piece", "left").where("id is not null or (at = 1 and len = 1)")
-    edge = F.when(F.col("id").isNotNull(), F.struct("at", "len", "id", "rank", "score"))
-    return found.groupBy("word").agg(F.first("splits").alias("splits"), F.collect_list(edge).alias("edges"))
+    found = parts.join(F.broadcast(table), "piece", "left").where("id is not null or place = 65")
+    value = "rank" if pieces.kind == "bpe" else "score"
+    edge = F.when(F.col("id").isNotNull(), F.struct("place", "id", value))
+    return found.groupBy("word").agg(
+        F.first("splits", ignorenulls=True).alias("splits"), F.collect_list(edge).alias("edges"))
 
 
 def _spelled(char: Column, pieces: Pieces) -> Column:
@@ -144,24 +160,40 @@ def _ids_of(cuts: Column, ids: Column, pieces: Pieces) -> Column:
 
 
 def _by_place(value: str) -> Column:
-    return F.map_from_entries(F.transform("edges", lambda e: F.struct(
-        (e["at"] * 64 + e["len"]).alias("k"), e[value].alias("v"))))
+    return F.map_from_entries(F.transform("edges", lambda e: F.struct(e["place"].alias("k"), e[value].alias("v"))))
 
 
 def _merged(lattice: DataFrame, pieces: Pieces) -> DataFrame:
-    """Fold for BPE: the pair of neighbours with the best score merges, the leftmost of equal ones, until none can."""
+    """Fold for BPE: the pair of neighbours with the best score merges, the leftmost of equal ones, until none can.
+
+    The state holds, per part, where it begins and the rank of its merge with the next part (null if there is
+    none), so a step looks up two ranks only; the last entry is the end of the word.
+    """
     lattice = lattice.withColumn("ranks", _by_place("rank")).withColumn("ids", _by_place("id"))
+    n = F.length("word")
+
+    def part(at: Column, stop: Column) -> Column:
+        return F.struct(F.try_element_at(F.col("ranks"), at * 64 + stop - at).alias("r"), at.alias("at"))
+
+    every = F.transform(F.sequence(F.lit(1), n + 1), lambda i: part(i, i + 2))
 
-    def step(cuts: Column, _: Column) -> Column:
-        pairs = F.when(F.size(cuts) > 2, F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda k: F.struct(
-            F.try_element_at(F.col("ranks"), F.get(cuts, k) * 64 + F.get(cuts, k + 2) - F.get(cuts, k)).alias("r"),
-            k.alias("k"))))
-        best = F.array_min(F.filter(pairs, lambda p: p["r"].isNotNull()))
-        return F.when(best.isNull(), cuts).otherwise(F.concat(
-            F.slice(cuts, 1, best["k"] + 1), F.slice(cuts, best["k"] + 3, F.size(cuts))))
+    def step(parts: Column, _: Column) -> Column:
+        best = F.array_min(F.filter(parts, lambda p: p["r"].isNotNull()))
 
-    every = F.sequence(F.lit(1), F.length("word") + 1)
-    cuts = F.aggregate(F.sequence(F.lit(1), F.length("word")), every, step)
+        def after(best: Column) -> Column:
+            k = F.array_position(parts, best).cast("int")  # from 1; the part k + 1 goes
+            left, end = F.get(parts, k - 2), F.get(parts, k + 1)
+            beyond = F.get(parts, k + 2)
+            joined = F.array(F.when(beyond.isNotNull(), part(best["at"], beyond["at"])).otherwise(
+                F.struct(F.lit(None).cast("int").alias("r"), best["at"].alias("at"))))
+            before = F.when(k > 1, F.concat(F.slice(parts, 1, k - 2), F.array(part(left["at"], end["at"])))).otherwise(
+                F.slice(parts, 1, 0))
+            return F.concat(before, joined, F.slice(parts, k + 2, F.size(parts)))
+
+        return F.when(best.isNull(), parts).otherwise(F.get(F.transform(F.array(best), after), F.lit(0)))
+
+    parts = F.aggregate(F.sequence(F.lit(1), n), every, step)
+    cuts = F.when(n <= LONGEST_WORD, F.transform(parts, lambda p: p["at"]))
     return lattice.withColumn("cuts", cuts).select("word", "splits", _ids_of(F.col("cuts"), F.col("ids"), pieces).alias(
         "found"))
 
@@ -173,14 +205,17 @@ def _best_path(lattice: DataFrame, pieces: Pieces) -> DataFrame:
     begin = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(F.lit(0)).alias("back"))
 
     def step(state: Column, end: Column) -> Column:  # the place after the piece, 2 for the first character
-        ways = F.transform(F.filter("edges", lambda e: e["at"] + e["len"] == end), lambda e: F.struct(
-            (F.get(state["score"], e["at"] - 1) + e["score"]).alias("total"), (-e["len"]).alias("len")))
+        def at(e: Column) -> Column:
+            return F.floor(e["place"] / 64).cast("int")
+
+        ways = F.transform(F.filter("edges", lambda e: at(e) + e["place"] % 64 == end), lambda e: F.struct(
+            (F.get(state["score"], at(e) - 1) + e["score"]).alias("total"), (-(e["place"] % 64)).alias("len")))
         alone = F.struct((F.get(state["score"], end - 2) + lowest).alias("total"), F.lit(-1).alias("len"))
         best = F.array_max(F.concat(ways, F.array(alone)))
         return F.struct(F.concat(state["score"], F.array(best["total"])).alias("score"),
                         F.concat(state["back"], F.array(-best["len"])).alias("back"))
 
-    n = F.length("word")
+    n = F.when(F.length("word") <= LONGEST_WORD, F.length("word"))
     state = F.aggregate(F.sequence(F.lit(2), n + 1), begin, step)
     lattice = lattice.withColumn("back", state["back"])
     cuts = F.aggregate(F.sequence(F.lit(1), n), F.array(n + 1), lambda cuts, _: F.when(
@@ -240,32 +275,34 @@ def path_long(word: str, pieces: Pieces, ids: dict[str, int]) -> list[int]:
     return list(chain.from_iterable([ids[p]] if p in ids else pieces.spelled(p) for p in reversed(cuts)))
 
 
-class _LongWords:
-    def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
+def _long_words(pieces: Pieces):
+    """A column function for words above LONGEST_WORD; null stays null."""
+    both = []  # made in the task, at its first long word
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, rank = self.pieces.ids(), self.pieces.rank()
-        for batch in batches:
-            found = [merge_long(w, self.pieces, ids, rank) if self.pieces.kind == "bpe" else
-                     path_long(w, self.pieces, ids) for w in batch["word"]]
-            yield batch.assign(found=found)
+    @F.pandas_udf("array<int>")
+    def found(words: pd.Series) -> pd.Series:
+        if not both and words.notna().any():
+            both.extend((pieces.ids(), pieces.rank()))
+        one = (lambda w: merge_long(w, pieces, *both)) if pieces.kind == "bpe" else (
+            lambda w: path_long(w, pieces, both[0]))
+        return pd.Series([None if w is None else one(w) for w in words], dtype=object)
+
+    return found
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, splits, found (ids) for distinct words (word, splits)."""
-    short = _edges(words.where(F.length("word") <= LONGEST_WORD), pieces)
-    folded = _merged(short, pieces) if pieces.kind == "bpe" else _best_path(short, pieces)
-    long = words.where(F.length("word") > LONGEST_WORD).mapInPandas(
-        _LongWords(pieces), "word string, splits array<bigint>, found array<int>")
-    return folded.unionByName(long)
+    lattice = _edges(words, pieces)
+    folded = _merged(lattice, pieces) if pieces.kind == "bpe" else _best_path(lattice, pieces)
+    long = F.when(F.length("word") > LONGEST_WORD, F.col("word"))
+    return folded.select("word", "splits", F.coalesce("found", _long_words(pieces)(long)).alias("found"))
 
 
 class _LookUp:
     """Ids of each text, from the table of its split in the shared folder."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    def __init__(self, folder: str, pattern: re.Pattern) -> None:
+        self.folder, self.pattern = folder, pattern
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = pyarrow.fs.FileSystem.from_uri(self.folder) if ":" in self.folder else (
@@ -285,7 +322,8 @@ class _LookUp:
                                 flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
                                 for w, lo, hi in zip(read["word"].to_pylist(), at[:-1], at[1:]):
                                     table[w] = flat[lo:hi].tolist()
-                found = [np.fromiter(chain.from_iterable(map(table.__getitem__, split_text(t))), np.int32)
+                found = [np.fromiter(chain.from_iterable(map(
+                    table.__getitem__, split_text(t, self.pattern))), np.int32)
                          for t in rows["text"]]
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "ids": found})
 
@@ -297,14 +335,15 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     first = docs.select(F.input_file_name().alias("f")).first()
     if first is None or not first.f:  # not a plain scan of files: write it once, so that its splits have names
         docs = stage(docs, "texts")
+    pattern = pieces.pattern()
     by_split = docs.withColumn("split", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    words = by_split.select("split", "text").mapInPandas(_SplitWords(), "word string, split bigint").groupBy(
+    words = by_split.select("split", "text").mapInPandas(_SplitWords(pattern), "word string, split bigint").groupBy(
         "word").agg(F.collect_set("split").alias("splits"))
-    coded = encode_words(stage(words, "words"), pieces)
+    coded = encode_words(words, pieces)
     folder = staging_path(spark, "lookup")
     coded.select("word", "found", F.explode("splits").alias("split")).repartition("split").write.partitionBy(
-        "split").parquet(folder)
-    return by_split.mapInPandas(_LookUp(folder), "doc_id bigint, text string, ids array<int>")
+        "split").option("compression", "zstd").parquet(folder)
+    return by_split.mapInPandas(_LookUp(folder, pattern), "doc_id bigint, text string, ids array<int>")
 
 
 class _Join:
