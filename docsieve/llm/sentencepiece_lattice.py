@@ -319,11 +319,11 @@ class _LookUp:
                                 with files.open_input_file(item.path) as file:
                                     read = pq.ParquetFile(file).read(["word", "found"])
                                 ids = read["found"].combine_chunks()
-                                flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
-                                for w, lo, hi in zip(read["word"].to_pylist(), at[:-1], at[1:]):
-                                    table[w] = flat[lo:hi].tolist()
-                found = [np.fromiter(chain.from_iterable(map(
-                    table.__getitem__, split_text(t, self.pattern))), np.int32)
+                                # The ids of a word as bytes, a quarter of a list's memory.
+                                flat, at = ids.values.to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy() * 4
+                                for w, lo, hi in zip(read["word"].to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                                    table[w] = flat[lo:hi]
+                found = [np.frombuffer(b"".join(map(table.__getitem__, split_text(t, self.pattern))), np.int32)
                          for t in rows["text"]]
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "ids": found})
 
