@@ -133,7 +133,7 @@ def _prompt() -> str:
     return " || ".join(x for part, slot in zip(PROMPT_PARTS, slots) for x in (q(part), slot))
 
 
-_RESOLVED = """, resolved AS (SELECT *, reason IS NOT NULL AND contains(substr(text, 1, 4000), 'Invoice Number') AS hit
+_RESOLVED = """, resolved AS (SELECT *, reason IS NOT NULL AND contains(text, 'Invoice Number') AS hit
   FROM checked)"""
 _INVOICE_MANDATORY = "|".join(f"Missing mandatory field: '{f}'" for f in RULES.get("invoice").mandatory)
 

@@ -223,7 +223,7 @@ def privacy_redact(spark: SparkSession, sf: str) -> DataFrame:
 
 def fallback_prompt(spark: SparkSession, sf: str) -> DataFrame:
     state = prepare(from_text(corpus(spark, sf), "text", "doc_id", "doc_id"), RULES, run_id="catalog",
-                    start_time_ms=0)
+                    start_time_ms=0, prompt_chars=4000)
     shown = state.filter(F.col("fallback_prompt").isNotNull())
     return shown.select(F.col("document_id").alias("doc_id"), F.length("fallback_prompt").alias("chars"),
                         F.md5("fallback_prompt").alias("digest"))

@@ -131,6 +131,7 @@ def with_first_letter_guard(pattern: str) -> str:
     return pattern
 
 
+_BACK_REFERENCE = re.compile(r"\\[1-9]|\(\?P=")
 _RUN_HEAD = re.compile(r"(\(\?i\))?\(?(\[\^?(?:\\.|[^\]\\])+\])\+(?![?+])")
 
 
@@ -138,10 +139,11 @@ def with_run_guard(java: str, pattern: str) -> str:
     """Let a pattern that begins with a run of one class start at the beginning of that run only.
 
     If it matches from inside a run it also matches from the run's start, so nothing is lost, and a
-    long run without a match is scanned once in place of once per character.
+    long run without a match is scanned once in place of once per character. A back-reference may need a part
+    of the run only, so such patterns are left alone.
     """
     head = _RUN_HEAD.match(pattern)
-    if not head or "|" in pattern:
+    if not head or "|" in pattern or _BACK_REFERENCE.search(pattern):
         return java
     flags, rest = re.match(r"(\(\?[a-z]+\))(.*)", java, re.DOTALL).groups()
     run = java_regex(head.group(2), ignore_case="i" in flags)

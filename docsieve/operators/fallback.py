@@ -44,14 +44,18 @@ CONFIDENCE_DECIMALS = 4
 
 
 def prompt(text: Column, reason: Column, confidence: Column, rules: RuleSet,
-           guess: Column | None = None, max_chars: int = PROMPT_CHARS) -> Column:
-    """User prompt for one document; ``confidence`` is the score as text with four decimals."""
+           guess: Column | None = None, max_chars: int | None = PROMPT_CHARS) -> Column:
+    """User prompt for one document; ``confidence`` is the score as text with four decimals.
+
+    ``max_chars`` limits the text shown; None shows the whole text.
+    """
+    whole = F.coalesce(text, F.lit(""))
     slots = (
         F.lit(", ".join(sorted(rules.slugs))),
         F.coalesce(reason, F.lit("Unknown")),
         F.coalesce(guess if guess is not None else F.lit(None), F.lit("unclassified")),
         F.coalesce(confidence, F.lit("0.0000")),
-        F.substring(F.coalesce(text, F.lit("")), 1, max_chars),
+        whole if max_chars is None else F.substring(whole, 1, max_chars),
     )
     return F.concat(*[x for part, slot in zip(PROMPT_PARTS, slots) for x in (F.lit(part), slot)])
 

@@ -43,7 +43,7 @@ def document_key(df: DataFrame, run_id: str) -> Column:
 
 
 def classify_state(df: DataFrame, rules: RuleSet,
-                   privacy: tuple[PrivacyRule, ...] | None = None) -> DataFrame:
+                   privacy: tuple[PrivacyRule, ...] | None = None, prompt_chars: int | None = None) -> DataFrame:
     """Error short-circuit, classification, field extraction and the prompt for undecided rows."""
     text = F.col("parsed_markdown")
     upstream = F.col("pipeline_error") if "pipeline_error" in df.columns else F.lit(None).cast("string")
@@ -54,13 +54,13 @@ def classify_state(df: DataFrame, rules: RuleSet,
     scored = computed_once(flagged, "_best", best_score(category_scores(F.when(runs, text), rules)))
     decided = scored.withColumn("_decision", F.when(runs, classification(F.col("_best"), rules)))
     reason = F.col("_decision.llm_escalation_reason")
-    # Whole documents are masked before the prompt takes its leading characters.
+    # Whole documents are masked before a prompt with a limit takes its leading characters.
     shown = redacted(text, privacy) if privacy else text
     fields = F.when(runs, field_map(text, F.col("_decision.document_category"), rules))
     return computed_once(decided, "extracted_fields", fields).withColumns({
         **{c: F.col(f"_decision.{c}") for c in _DECIDED},
         "fallback_prompt": F.when(runs & (F.coalesce(reason, F.lit("")) != ""), prompt(
-            shown, reason, F.col("_decision.confidence_text"), rules)),
+            shown, reason, F.col("_decision.confidence_text"), rules, max_chars=prompt_chars)),
     }).drop("_best", "_decision")
 
 
@@ -68,8 +68,12 @@ def prepare(df: DataFrame, rules: RuleSet, *, parser: Parser | None = None,
             parser_factory: Callable[[], Parser] | None = None,
             properties: PropertyReader = office_properties,
             privacy: tuple[PrivacyRule, ...] | None = None, run_id: str | None = None,
-            start_time_ms: int | None = None, keep_text: bool = False) -> DataFrame:
-    """Everything up to the model: narrow state rows plus ``fallback_prompt``."""
+            start_time_ms: int | None = None, keep_text: bool = False,
+            prompt_chars: int | None = None) -> DataFrame:
+    """Everything up to the model: narrow state rows plus ``fallback_prompt``.
+
+    The model sees whole texts unless ``prompt_chars`` limits them.
+    """
     run_id = run_id or uuid.uuid4().hex
     started = int(time.time() * 1000) if start_time_ms is None else start_time_ms
     if "document_id" not in df.columns:
@@ -78,7 +82,7 @@ def prepare(df: DataFrame, rules: RuleSet, *, parser: Parser | None = None,
         df = df.withColumn("start_time_ms", F.lit(started).cast("bigint"))
     if "content" in df.columns:
         df = parse_documents(df, parser, parser_factory=parser_factory, properties=properties)
-    state = classify_state(df, rules, privacy)
+    state = classify_state(df, rules, privacy, prompt_chars)
     missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if t and c not in state.columns}
     state = state.withColumns({**missing, "run_id": F.lit(run_id)})
     keep = ["run_id", "document_id", "source_filename", "source_path", "start_time_ms", "parse_error",

@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
-from urllib.parse import urlparse
+from urllib.parse import quote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -25,11 +25,11 @@ BatchHandler = Callable[[DataFrame, int], None]
 
 
 def arrivals(spark: SparkSession, directory: str, *, recursive: bool = False,
-             max_files: int | None = None, max_age: str = "3650d") -> DataFrame:
+             max_files: int | None = None, max_age: str = "3650000d") -> DataFrame:
     """New document files as a stream. Other extensions are dropped at listing, in any case.
 
     ``max_age`` bounds how much older than the newest file a file may be and still count as new;
-    it is long by default, so that an old file moved into the directory is picked up.
+    the default of ten thousand years is no bound, so no file is left out for its age.
     """
     reader = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE)
@@ -97,7 +97,7 @@ def ingest(spark: SparkSession, watch_dir: str, *, results_path: str, audit_path
 
     Dictionaries are re-read per micro-batch, so an edit takes effect without a restart. A batch
     writes into its own folder, named after the stream and the batch number; a replay overwrites
-    exactly that folder.
+    exactly that folder. Streams of different ids over one directory each see every file.
     """
     store = rules or RuleStore()
 
@@ -106,6 +106,8 @@ def ingest(spark: SparkSession, watch_dir: str, *, results_path: str, audit_path
                         run_id=f"{stream_id}-{batch_id:09d}", mode="overwrite", **options)
         run.discard_staging()
 
+    name = quote(stream_id, safe="")
+    checkpoint = checkpoint or f"{checkpoint_folder(spark)}/ingest-{name}-{zlib.crc32(watch_dir.encode()):08x}"
     stream = DirectoryStream(
         spark, watch_dir, handle, recursive=recursive, checkpoint=checkpoint, keep_going=False,
         trigger=trigger, max_files=max_files)

@@ -113,3 +113,9 @@ def test_hostile_texts_neither_overflow_nor_stall(spark, rules):
     got = extract_fields(spark.createDataFrame(rows, "document_category string, text string"), RuleSet((*rules, looping))).collect()
     assert len(got) == len(rows)
     assert next(r for r in got if r.document_category == "report" and r.text[:8] == "version:").extracted_fields["version"] == texts[0][9:]
+
+
+@pytest.mark.parametrize("pattern, text, want", [(r"([a-z]+)-\1", "xab-ab", "ab"), (r"(?P<r>[0-9]+)/(?P=r)", "112/12", "12")])
+def test_back_reference_may_need_part_of_a_run(spark, pattern, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(first_match(F.col("t"), pattern).alias("m")).first().m == want

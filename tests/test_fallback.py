@@ -102,3 +102,11 @@ def test_outcomes(spark, rules):
 @pytest.mark.parametrize("reply", ["[" * 200_000, '{"a":' * 200_000, '{"category": ' + "[" * 200_000])
 def test_deeply_nested_reply_is_unusable(reply):
     assert parse_reply(reply, frozenset({"invoice"})) is None
+
+
+def test_the_model_sees_whole_texts_unless_limited(spark, rules):
+    from docsieve.plans.process import prepare
+    text = "nothing here. " * 400 + "evidence at the end"
+    df = spark.createDataFrame([("d", "a.txt", text)], "document_id string, source_filename string, parsed_markdown string")
+    assert prepare(df, rules).first().fallback_prompt.endswith("evidence at the end")
+    assert prepare(df, rules, prompt_chars=20).first().fallback_prompt.endswith(text[:20])
