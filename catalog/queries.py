@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.corpus import corpus, order_files, order_texts, rendered, spark_table
+from docsieve.functions.binding import computed_once
 from docsieve.functions.files import file_extension, is_watched, mime_type
 from docsieve.functions.markup import HTML_STEPS, html_text
 from docsieve.functions.rounding import round_exact
@@ -19,7 +20,7 @@ from docsieve.operators.fallback import ask_model
 from docsieve.operators.gate import gate_error
 from docsieve.operators.metadata import file_metadata, internal_kind
 from docsieve.operators.parse import Parsed, parse_documents
-from docsieve.operators.redact import load_privacy_rules, privacy_counts, privacy_flags, redacted
+from docsieve.operators.redact import flags_of_counts, load_privacy_rules, privacy_counts, redacted
 from docsieve.operators.route import needs_fallback
 from docsieve.operators.validate import record_violations, validate
 from docsieve.plans.batch import run_batch
@@ -210,8 +211,8 @@ def html_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def privacy_scan(spark: SparkSession, sf: str) -> DataFrame:
     documents = spread(spark_table(spark, sf, "documents"))
-    counted = documents.withColumn("n", privacy_counts(F.col("text"), PRIVACY))
-    return counted.select("doc_id", F.array_join(privacy_flags(F.col("text"), PRIVACY), SEP).alias("flags"), "n.*")
+    counted = computed_once(documents, "n", privacy_counts(F.col("text"), PRIVACY))
+    return counted.select("doc_id", F.array_join(flags_of_counts(F.col("n"), PRIVACY), SEP).alias("flags"), "n.*")
 
 
 def privacy_redact(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,6 +297,14 @@ def audit_integrity(spark: SparkSession, sf: str) -> DataFrame:
         spark_table(spark, sf, "documents"), spark_table(spark, sf, "labels"), "doc_id")
 
 
+def generated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without a key, many of them equal: each row has an id and an audit entry of its own."""
+    texts = spark_table(spark, sf, "documents").select("text")
+    audit = audit_records(process(from_text(texts), RULES, run_id="catalog", start_time_ms=0))
+    return audit.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("document_id").alias("ids"),
+                     F.countDistinct("audit_id").alias("audit_ids"))
+
+
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
     return run_metrics(audit_records(_state(corpus(spark, sf)))).select(
         "documents", "fallback_rate", "fallback_unavailable_rate", "validation_failure_rate")
@@ -330,7 +339,8 @@ def feedback_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feedback_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return confusion_matrix(_feedback(spark, sf, _reviewed(spark, sf)), ["invoice", "receipt", "unclassified"])
+    """One column per category of the rules, and one for labels that the rules do not know."""
+    return confusion_matrix(_feedback(spark, sf, _reviewed(spark, sf)), [*RULES.slugs, "unclassified"])
 
 
 def keyword_misfires(spark: SparkSession, sf: str) -> DataFrame:
@@ -416,6 +426,7 @@ QUERIES = {
     "audit_from_payload": audit_from_payload,
     "audit_output_join": audit_output_join,
     "audit_integrity": audit_integrity,
+    "generated_ids": generated_ids,
     "metrics": metrics,
     "metrics_by_window": metrics_by_window,
     "acceptance_eval": acceptance_eval,

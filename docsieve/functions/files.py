@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,18 +94,18 @@ SIGNATURES = (
     ("0061736D%", "application/wasm"),
 )
 
-# In a ZIP container the folder of a later entry names the office format. 504B0304
-# starts an entry header; the entry name follows 26 bytes further on.
+# In a ZIP container the folder of an entry names the office format. PK\3\4 starts an
+# entry header; the entry name follows 26 bytes further on.
 _ZIP = "504B0304%"
+_ZIP_ENTRY = r"(?s)PK\x03\x04.{26}(word/|ppt/|xl/)"
 _ZIP_OTHER = ("504B0506%", "504B0708%")
 _OFFICE_FOLDERS = (
-    ("776F72642F", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
-    ("7070742F", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
-    ("786C2F", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+    ("word/", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ("ppt/", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+    ("xl/", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
 )
 _TAR = "7573746172"  # at byte 257
 _HEAD_BYTES = 300
-_ZIP_HEAD_BYTES = 8192
 
 
 def base_name(path: Column) -> Column:
@@ -125,19 +123,18 @@ def _hex_head(content: Column, n_bytes: int) -> Column:
 
 
 def mime_type(content: Column) -> Column:
-    """MIME type from the leading bytes; NULL when no signature fits."""
+    """MIME type from the leading bytes; NULL when no signature fits.
+
+    A ZIP container is searched as a whole for the first entry in an office folder, wherever it stands.
+    """
     return let(_hex_head(content, _HEAD_BYTES), lambda head: _mime_of(head, content))
 
 
 def _mime_of(head: Column, content: Column) -> Column:
-    zip_head = _hex_head(content, _ZIP_HEAD_BYTES)
-    office = reduce(
-        lambda chain, row: chain.when(
-            zip_head.rlike(f"^504B0304(?:..)*?504B0304.{{52}}{row[0]}"), F.lit(row[1])),
-        _OFFICE_FOLDERS[1:],
-        F.when(zip_head.rlike(f"^504B0304(?:..)*?504B0304.{{52}}{_OFFICE_FOLDERS[0][0]}"),
-               F.lit(_OFFICE_FOLDERS[0][1])),
-    ).otherwise(F.lit("application/zip"))
+    # One character per byte, so that the distance to the entry name holds.
+    folder = F.regexp_extract(F.decode(content, "ISO-8859-1"), _ZIP_ENTRY, 1)
+    names = F.create_map(*[F.lit(x) for row in _OFFICE_FOLDERS for x in row])
+    office = F.coalesce(F.try_element_at(names, folder), F.lit("application/zip"))
     chain = F.when(head.like(_ZIP), office)
     for pattern in _ZIP_OTHER:
         chain = chain.when(head.like(pattern), F.lit("application/zip"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from typing import Any
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -103,7 +104,9 @@ def parse_one(filename: str, content: bytes, kind: str | None, parser: Parser,
         ("text", "error", "page_count", "author", "title", "producer", "creation_date"))
     if kind is not None:
         try:
-            row.update(properties(kind, content))
+            found = dict(properties(kind, content))
+            pages = found.get("page_count")
+            row.update(found | {"page_count": None if pages is None else int(np.int32(pages))})
         except Exception:  # noqa: BLE001 - a failing reader leaves the properties empty
             pass
     try:

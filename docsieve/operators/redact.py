@@ -38,6 +38,11 @@ def privacy_counts(text: Column, rules: tuple[PrivacyRule, ...]) -> Column:
     return F.struct(*[F.regexp_count(text, F.lit(_regex(r))).alias(r.label.lower()) for r in rules])
 
 
+def flags_of_counts(counts: Column, rules: tuple[PrivacyRule, ...]) -> Column:
+    """Labels whose count is above zero, in rule order, without another look at the text."""
+    return F.array_compact(F.array(*[F.when(counts[r.label.lower()] > 0, F.lit(r.label)) for r in rules]))
+
+
 def privacy_flags(text: Column, rules: tuple[PrivacyRule, ...]) -> Column:
     """Labels that occur in the text, in rule order."""
     return F.array_compact(F.array(*[F.when(text.rlike(_regex(r)), F.lit(r.label)) for r in rules]))
@@ -46,7 +51,8 @@ def privacy_flags(text: Column, rules: tuple[PrivacyRule, ...]) -> Column:
 def redacted(text: Column, rules: tuple[PrivacyRule, ...]) -> Column:
     """The text with every match replaced by its label, rule by rule over the whole text."""
     for rule in rules:
-        text = F.regexp_replace(text, _regex(rule), rule.mask)
+        literal = rule.mask.replace("\\", "\\\\").replace("$", "\\$")  # neither is syntax in a label
+        text = F.regexp_replace(text, _regex(rule), literal)
     return text
 
 

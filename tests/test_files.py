@@ -28,6 +28,19 @@ def package(**parts):
     return buffer.getvalue()
 
 
+OFFICE = {folder: f"application/vnd.openxmlformats-officedocument.{name}" for folder, name in (
+    ("word", "wordprocessingml.document"), ("ppt", "presentationml.presentation"), ("xl", "spreadsheetml.sheet"))}
+
+
+def container(*names):
+    """Entries in the given order; ``long.bin`` holds more bytes than any head a reader might take."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name in names:
+            z.writestr(name, bytes(range(256)) * 400 if name == "long.bin" else b"x")
+    return buffer.getvalue()
+
+
 DOCX = package(**{"word/document.xml": (
     f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p>'
     "<w:p><w:r><w:t>Invoice </w:t></w:r><w:r><w:t>Number: 5</w:t></w:r></w:p>"
@@ -64,6 +77,10 @@ def test_mime_signatures(spark):
              (DOCX, "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
              (PPTX, "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
              (XLSX, "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"), (ZIP, "application/zip"),
+             *[(container(*names), office) for folder, office in OFFICE.items() for names in (
+                 [f"{folder}/a.xml"], ["[Content_Types].xml", f"{folder}/a.xml"], ["long.bin", f"{folder}/a.xml"],
+                 ["long.bin", "other/x", f"{folder}/a.xml", "word/embedded.docx"])],
+             (container("long.bin", "words/a"), "application/zip"),
              (b"hello", None), (b"", None), (b"<html>", None), (b"\x1f\x8b\x08", "application/gzip")]
     rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c binary").select("i", mime_type(F.col("c")).alias("m")).collect()
     assert {r.i: r.m for r in rows} == {i: m for i, (_, m) in enumerate(cases)}

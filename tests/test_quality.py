@@ -58,13 +58,13 @@ def test_feedback(spark, rules, tmp_path):
     assert [c.split()[0] for c in FEEDBACK.split(", ")] == feedback.columns
     assert {(r.predicted_category, r.reviewer_correct_category): r.documents for r in confusion(feedback).collect()} == {
         ("invoice", "invoice"): 1, ("invoice", "receipt"): 1, ("unclassified", "report"): 1}
-    matrix = {r.predicted_category: (r.invoice, r.receipt) for r in confusion_matrix(feedback, ["invoice", "receipt"]).collect()}
-    assert matrix == {"invoice": (1, 1), "unclassified": (0, 0)}
+    matrix = {r.predicted_category: (r.invoice, r.receipt, r.other) for r in confusion_matrix(feedback, ["invoice", "receipt"]).collect()}
+    assert matrix == {"invoice": (1, 1, 0), "unclassified": (0, 0, 1)}
     assert {r.keyword: (r.matches, r.misfires) for r in misfiring_keywords(feedback).collect()} == {"invoice": (2, 1), "bill to": (1, 0)}
     gaps = missing_keywords(feedback, keyword_evidence(texts, rules, "document_id")).collect()
     assert {(r.reviewer_correct_category, r.keyword) for r in gaps} == {("receipt", k) for k in ("receipt", "paid", "store")}
-    for _ in range(2):
-        write_feedback(feedback, f"{tmp_path}/f")
+    for run in ("monday", "monday", "tuesday"):
+        write_feedback(feedback, f"{tmp_path}/f", run, "overwrite")
     assert spark.read.schema(FEEDBACK).json(f"{tmp_path}/f").count() == 6
     assert audit_with_results(audit(spark), results).count() == 3
 
@@ -78,4 +78,6 @@ def test_privacy(spark):
     masked = df.select(redacted(F.col("text"), rules).alias("t")).collect()
     assert masked[0].t == "[NAME], [EMAIL], [IBAN], [CARD], [NATIONAL_ID],[PHONE], [ACCOUNT]" and masked[1].t == "nothing here"
     own = (PrivacyRule("CODE", r"[A-Z]{3}-\d+"),)
+    odd = (PrivacyRule("$1\\", r"\d+"),)
+    assert spark.createDataFrame([("a 12",)], "t string").select(redacted(F.col("t"), odd).alias("t")).first().t == "a [$1\\]"
     assert spark.createDataFrame([("ABC-1 abc-2 XYZ-3",)], "t string").select(privacy_counts(F.col("t"), own).alias("n")).first().n.code == 2

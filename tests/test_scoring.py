@@ -1,3 +1,4 @@
+import math
 import random
 from dataclasses import replace
 
@@ -125,8 +126,9 @@ def test_hits_are_exactly_the_substrings(spark, words, values):
 
 def test_rounding_follows_the_binary_value(spark):
     values = sorted({n / top * f for top in (68, 73, 75, 77, 80, 81) for n in range(top + 1) for f in (1, 0.30)}
-                    - {0.0}) + [0.0, 1.0, 0.03125, 0.09375, 0.5, 0.85678]
-    values = [v for v in values if v == 0 or v >= 2 ** -10]
+                    - {0.0}) + [0.0, 1.0, 0.03125, 0.09375, 0.5, 0.85678, 5e-324, 2 ** -20, 2 ** -10]
+    values += [v for n in range(30) for t in ((2 * n + 1) / 20000,)
+               for v in (t, math.nextafter(t, 0), math.nextafter(t, 1))]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", round_exact(F.col("v")).alias("r")).collect()
     assert all(r.r == round(r.v, 4) for r in rows)
 
