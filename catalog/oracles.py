@@ -264,3 +264,19 @@ FROM docs JOIN orders ON doc_id = 'order-' || o_orderkey WHERE o_orderpriority =
   method AS extraction_method, confidence AS confidence_score, status AS validation_status,
   {_OUTCOME} AS validation_outcome FROM checked""",
 }
+ORACLES["branch_merge"] = ORACLES["fallback_resolve"]
+ORACLES["feedback_sink"] = ORACLES["feedback_confusion"]
+ORACLES["audit_csv"] = validation(RENDERED) + f"""SELECT doc_id AS document_id, method AS extraction_method,
+  category AS classification_result, {_OUTCOME} AS validation_outcome, errors AS validation_errors FROM checked"""
+ORACLES["failed_documents"] = """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'unclassified' AS extraction_method,
+  'unclassified' AS classification_result, 0.0::DOUBLE AS confidence_score, 'failed' AS validation_outcome,
+  CASE WHEN o_orderkey % 10 IN (0, 4, 7, 8) THEN 'upstream ' || o_orderstatus
+    ELSE 'No parsed Markdown available for classification' END AS validation_errors
+FROM orders WHERE o_orderkey % 10 NOT IN (6, 9)"""
+# The same patterns in the dialect of DuckDB.
+_CUSTOM = (("name", r"(INV-\d+)", 1), ("count", r"total[^\d]{0,9}(\d+)", 1), ("brace", r"no\{t|(customer)", 1),
+           ("condition", r"(supplier|invoice)", 1), ("flag", r"date:?\s*(\w+)", 1),
+           ("loop", r"((?:[a-z]+ ){2,4}?[a-z]+)\.", 1))
+ORACLES["custom_fields"] = f"WITH docs AS ({for_duckdb(CORPUS)}) SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT doc_id, {q(name)} AS field, trim(regexp_extract(text, {q('(?i)' + pattern)}, {group}), {q(PY_WHITESPACE)}) "
+    f"AS value FROM docs" for name, pattern, group in _CUSTOM) + ") x WHERE value <> ''"

@@ -15,25 +15,32 @@ from docsieve.functions.files import file_extension, is_watched, mime_type
 from docsieve.functions.markup import HTML_STEPS, html_text
 from docsieve.functions.rounding import round_exact
 from docsieve.operators.classify import (
-    classify, classify_long, explain_scores, extract_fields, keyword_evidence)
+    classify, classify_long, explain_scores, extract_fields, field_map, keyword_evidence)
 from docsieve.operators.fallback import ask_model
 from docsieve.operators.gate import gate_error
 from docsieve.operators.metadata import file_metadata, internal_kind
 from docsieve.operators.parse import Parsed, parse_documents
 from docsieve.operators.redact import flags_of_counts, load_privacy_rules, privacy_counts, redacted
-from docsieve.operators.route import needs_fallback
+from docsieve.operators.route import needs_fallback, resolve_branches
 from docsieve.operators.validate import record_violations, validate
 from docsieve.plans.batch import run_batch
-from docsieve.plans.process import audit_from_results, audit_records, payload, prepare, process
+from docsieve.plans.process import audit_from_results, audit_records, finish, payload, prepare, process
 from docsieve.plans.quality import (
     acceptance, audit_with_results, confusion, confusion_matrix, feedback_records, integrity_breaches,
     misfiring_keywords, missing_keywords, run_metrics, windowed_metrics)
-from docsieve.rules import load_rules
-from docsieve.session import checkpoint_folder, spread, stage
-from docsieve.sinks.tables import read_audit
+from docsieve.rules import Category, FieldPattern, RuleSet, load_rules
+from docsieve.schemas import FEEDBACK
+from docsieve.session import checkpoint_folder, spread, stage, staging_path
+from docsieve.sinks.tables import export_audit_csv, read_audit, write_feedback
 from docsieve.sources.documents import from_text
 from docsieve.sources.rule_tables import category_table, mandatory_table, small
 
+#: Field, pattern and group: a name with an underscore, an open count, a bare brace, a conditional, a flag, a lazy loop.
+CUSTOM_PATTERNS = (
+    ("name", r"(?P<order_key>INV-\d+)", 1), ("count", r"total\D{,9}(\d+)", 1), ("brace", r"no{t|(customer)", 1),
+    ("condition", r"(<)?(supplier|invoice)(?(1)>)", 2), ("flag", r"(?a)date:?\s*(\w+)", 1),
+    ("loop", r"((?:[a-z]+ ){2,4}?[a-z]+)\.", 1))
+
 RULES = load_rules()
 PRIVACY = load_privacy_rules()
 SEP = "|"
@@ -111,6 +118,14 @@ def extracted_fields(spark: SparkSession, sf: str) -> DataFrame:
                         F.explode("extracted_fields").alias("field", "value"))
 
 
+def custom_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields by patterns that are valid in Python and that Java refuses or reads in another way."""
+    own = Category(slug="own", display_name="Own", threshold=0.5, primary=("a",), patterns=tuple(
+        FieldPattern(name, pattern, group) for name, pattern, group in CUSTOM_PATTERNS))
+    found = corpus(spark, sf).select("doc_id", field_map(F.col("text"), F.lit("own"), RuleSet((own,))).alias("f"))
+    return found.select("doc_id", F.explode("f").alias("field", "value"))
+
+
 def mandatory_validation(spark: SparkSession, sf: str) -> DataFrame:
     found = extract_fields(classify(corpus(spark, sf), RULES), RULES)
     checked = validate(found.withColumn("pipeline_error", F.lit(None).cast("string")), RULES)
@@ -248,12 +263,23 @@ def fallback_replies(spark: SparkSession, sf: str) -> DataFrame:
     return replies.withColumn("a", answer).select("o_orderkey", "a.category", "a.confidence")
 
 
+def _model(prompts):
+    return ['{"category": "invoice", "confidence": 0.75}' if "Invoice Number" in p else "unsure" for p in prompts]
+
+
 def fallback_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    def model(prompts):
-        return ['{"category": "invoice", "confidence": 0.75}' if "Invoice Number" in p else "unsure"
-                for p in prompts]
+    return _resolved(_state(corpus(spark, sf), infer=_model, fallback={"delay": 0.0, "max_retries": 1}))
+
+
+def branch_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the undecided rows of a written table in tasks of their own, then merged."""
+    documents = from_text(corpus(spark, sf), "text", F.concat("doc_id", F.lit(".pdf")), "doc_id")
+    scored = stage(prepare(documents, RULES, run_id="catalog", start_time_ms=0), "scored")
+    tasks = spark.sparkContext.defaultParallelism
+    return _resolved(finish(resolve_branches(scored, RULES, _model, tasks, delay=0.0, max_retries=1), RULES))
 
-    state = _state(corpus(spark, sf), infer=model, fallback={"delay": 0.0, "max_retries": 1})
+
+def _resolved(state: DataFrame) -> DataFrame:
     return state.select(
         F.col("document_id").alias("doc_id"), "document_category", "classification_method",
         "classification_confidence", F.coalesce("llm_unavailable", F.lit(False)).alias("llm_unavailable"),
@@ -297,6 +323,38 @@ def audit_integrity(spark: SparkSession, sf: str) -> DataFrame:
         spark_table(spark, sf, "documents"), spark_table(spark, sf, "labels"), "doc_id")
 
 
+def failed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without text or with an error from upstream: they are not scored, and have an audit entry."""
+    key = F.col("o_orderkey") % 10
+    broken = spark_table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("key"),
+        F.when(key < 3, F.lit(None)).when(key < 6, F.lit("")).otherwise(F.lit("invoice number")).alias("text"),
+        F.when(key.isin(0, 4, 7, 8), F.concat(F.lit("upstream "), F.col("o_orderstatus"))).alias("pipeline_error"))
+    state = process(from_text(spread(broken), "text", "key", "key"), RULES, run_id="catalog", start_time_ms=0)
+    return audit_records(state.where("pipeline_error is not null")).select(
+        "document_id", "extraction_method", "classification_result", "confidence_score", "validation_outcome",
+        _joined("validation_errors"))
+
+
+def feedback_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews written as JSON, once more after a failed attempt, and read back."""
+    path = staging_path(spark, "feedback")
+    feedback = _feedback(spark, sf, _reviewed(spark, sf))
+    for _ in range(2):
+        write_feedback(feedback, path, "reviews", "overwrite")
+    return spark.read.schema(FEEDBACK).json(path).groupBy("predicted_category", "reviewer_correct_category").agg(
+        F.count(F.lit(1)).alias("documents"))
+
+
+def audit_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit of the order texts as CSV, read back."""
+    path = staging_path(spark, "csv")
+    export_audit_csv(audit_records(_state(rendered(spark, sf))), path)
+    return spark.read.option("header", "true").option("escape", '"').csv(path).select(
+        "document_id", "extraction_method", "classification_result", "validation_outcome",
+        F.array_join(F.from_json("validation_errors", "array<string>"), SEP).alias("validation_errors"))
+
+
 def generated_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Documents without a key, many of them equal: each row has an id and an audit entry of its own."""
     texts = spark_table(spark, sf, "documents").select("text")
@@ -405,6 +463,7 @@ QUERIES = {
     "escalation_reasons": escalation_reasons,
     "rounded_confidence": rounded_confidence,
     "extracted_fields": extracted_fields,
+    "custom_fields": custom_fields,
     "mandatory_validation": mandatory_validation,
     "missing_mandatory": missing_mandatory,
     "config_lookup": config_lookup,
@@ -421,11 +480,15 @@ QUERIES = {
     "fallback_prompt": fallback_prompt,
     "fallback_replies": fallback_replies,
     "fallback_resolve": fallback_resolve,
+    "branch_merge": branch_merge,
     "audit_log": audit_log,
     "result_payload": result_payload,
     "audit_from_payload": audit_from_payload,
     "audit_output_join": audit_output_join,
     "audit_integrity": audit_integrity,
+    "failed_documents": failed_documents,
+    "feedback_sink": feedback_sink,
+    "audit_csv": audit_csv,
     "generated_ids": generated_ids,
     "metrics": metrics,
     "metrics_by_window": metrics_by_window,

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark import cloudpickle
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext, cloudpickle
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,6 +154,10 @@ def with_run_guard(java: str, pattern: str) -> str:
 
 
 _GROUP_LOOP = re.compile(r"\)(?:\*|\+|\{\d+,\})(?![?+])")
+#: Loops over a group with a count: the most, and whether they are lazy. Java recurses once per round.
+_COUNTED_LOOP = re.compile(r"\)\{\d*,?(\d+)\}(\??)|\)\{\d+,\}(\?)")
+_RECURSED = 200
+_PYTHON_FLAGS = re.compile(r"\(\?[a-zA-Z]*[aLux]")
 _OPTIONAL_TAIL = re.compile(r"\)*(?:\(\?:[^()|]*\)\?)?\)*$")
 
 
@@ -171,7 +178,36 @@ def recursive_loops(pattern: str) -> tuple[list[int], bool]:
             tails.append(loop.end())
         else:
             others = True
-    return tails, others or ")+?" in structure
+    counted = any(lazy or open_lazy or int(most) > _RECURSED
+                  for most, lazy, open_lazy in _COUNTED_LOOP.findall(structure))
+    return tails, others or counted or ")+?" in structure
+
+
+def _accepted(java: str) -> bool:
+    """Whether Java compiles the pattern; asked on the driver, so that no task fails on it."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(java)
+    except (IllegalArgumentException, Py4JJavaError):
+        return False
+    return True
+
+
+@lru_cache(maxsize=10_000)
+def java_search(pattern: str, ignore_case: bool = True) -> str | None:
+    """A Python pattern in a form that Java runs safely and alike, or None if it must be searched in Python.
+
+    That is so for loops Java would recurse into, flags of another meaning, and syntax Java has not:
+    conditionals, names with an underscore, ``{,n}`` and bare braces.
+    """
+    tails, others = recursive_loops(pattern)
+    if others or _PYTHON_FLAGS.search(_mask(pattern)):
+        return None
+    guarded = with_first_letter_guard(pattern) if ignore_case else pattern
+    for end in reversed(tails):
+        end += len(guarded) - len(pattern)
+        guarded = guarded[:end] + "+" + guarded[end:]
+    java = with_run_guard(java_regex(guarded, ignore_case), pattern)
+    return java if _accepted(java) else None
 
 
 def _python_search(text: Column, pattern: str, group: int) -> Column:
@@ -184,6 +220,24 @@ def _python_search(text: Column, pattern: str, group: int) -> Column:
     return search(text)
 
 
+def python_replace(text: Column, pattern: str, replacement: str) -> Column:
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern)
+        return pd.Series([None if t is None else compiled.sub(lambda _: replacement, t) for t in texts], dtype=object)
+
+    return replaced(text)
+
+
+def python_count(text: Column, pattern: str) -> Column:
+    @F.pandas_udf("int")
+    def counted(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern)
+        return pd.Series([None if t is None else sum(1 for _ in compiled.finditer(t)) for t in texts], dtype="Int32")
+
+    return counted(text)
+
+
 def py_strip(value: Column) -> Column:
     """``str.strip()``: ``trim`` alone removes only spaces."""
     return F.btrim(value, F.lit(PY_WHITESPACE))
@@ -193,16 +247,11 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of a Python pattern, stripped; '' when nothing usable was captured.
 
     Callers filter on '' themselves: ``nullif`` here would be expanded to two evaluations. Only a
-    pattern whose loops Java would recurse into is searched in Python.
+    pattern that Java cannot run (``java_search``) is searched in Python.
     """
-    tails, others = recursive_loops(pattern)
-    if others:
+    java = java_search(pattern)
+    if java is None:
         return _python_search(text, pattern, group)
-    guarded = with_first_letter_guard(pattern)
-    for end in reversed(tails):
-        end += len(guarded) - len(pattern)
-        guarded = guarded[:end] + "+" + guarded[end:]
-    java = with_run_guard(java_regex(guarded), pattern)
     return py_strip(F.regexp_extract(text, java, group))
 
 

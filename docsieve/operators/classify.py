@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.binding import computed_once
-from docsieve.functions.regex import first_match, recursive_loops
+from docsieve.functions.regex import first_match, java_search
 from docsieve.functions.scoring import (
     EXCLUSION_FACTOR, best_score, category_scores, confidence_text, escalation_reason, keyword_hits)
 from docsieve.rules import RuleSet
@@ -49,7 +49,7 @@ def field_map(text: Column, category: Column, rules: RuleSet) -> Column:
         # A search in Python sees only the texts of its category; the others arrive as NULL.
         own = F.when(category == c.slug, text)
         pairs = [x for p in c.patterns for x in (F.lit(p.field), first_match(
-            own if recursive_loops(p.pattern)[1] else text, p.pattern, p.group))]
+            own if java_search(p.pattern) is None else text, p.pattern, p.group))]
         found = F.map_filter(F.create_map(*pairs), lambda _, v: v != "")
         chain = (F if chain is None else chain).when(category == c.slug, found)
     return empty if chain is None else chain.otherwise(empty)

@@ -9,7 +9,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions.regex import java_regex, with_run_guard
+from docsieve.functions.regex import java_search, python_count, python_replace
 from docsieve.rules import BUNDLED
 
 
@@ -28,14 +28,24 @@ def load_privacy_rules(path: str | Path = BUNDLED / "privacy.yaml") -> tuple[Pri
     return tuple(PrivacyRule(r["label"], r["pattern"]) for r in raw["rules"])
 
 
-def _regex(rule: PrivacyRule) -> str:
+def _regex(rule: PrivacyRule) -> str | None:
     # Privacy patterns state their own case: an upper-case initial is what marks a name.
-    return with_run_guard(java_regex(rule.pattern, ignore_case=False), rule.pattern)
+    return java_search(rule.pattern, ignore_case=False)
+
+
+def _count(text: Column, rule: PrivacyRule) -> Column:
+    java = _regex(rule)
+    return python_count(text, rule.pattern) if java is None else F.regexp_count(text, F.lit(java))
+
+
+def _found(text: Column, rule: PrivacyRule) -> Column:
+    java = _regex(rule)
+    return python_count(text, rule.pattern) > 0 if java is None else text.rlike(java)
 
 
 def privacy_counts(text: Column, rules: tuple[PrivacyRule, ...]) -> Column:
     """Occurrences per label as a struct, one field per rule."""
-    return F.struct(*[F.regexp_count(text, F.lit(_regex(r))).alias(r.label.lower()) for r in rules])
+    return F.struct(*[_count(text, r).alias(r.label.lower()) for r in rules])
 
 
 def flags_of_counts(counts: Column, rules: tuple[PrivacyRule, ...]) -> Column:
@@ -45,14 +55,15 @@ def flags_of_counts(counts: Column, rules: tuple[PrivacyRule, ...]) -> Column:
 
 def privacy_flags(text: Column, rules: tuple[PrivacyRule, ...]) -> Column:
     """Labels that occur in the text, in rule order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(_regex(r)), F.lit(r.label)) for r in rules]))
+    return F.array_compact(F.array(*[F.when(_found(text, r), F.lit(r.label)) for r in rules]))
 
 
 def redacted(text: Column, rules: tuple[PrivacyRule, ...]) -> Column:
     """The text with every match replaced by its label, rule by rule over the whole text."""
     for rule in rules:
         literal = rule.mask.replace("\\", "\\\\").replace("$", "\\$")  # neither is syntax in a label
-        text = F.regexp_replace(text, _regex(rule), literal)
+        java = _regex(rule)
+        text = python_replace(text, rule.pattern, rule.mask) if java is None else F.regexp_replace(text, java, literal)
     return text
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docsieve.functions.regex import (
     any_word_pattern, first_match, java_regex, py_strip, recursive_loops)
 from docsieve.operators.classify import extract_fields
+from docsieve.operators.redact import PrivacyRule, privacy_counts, privacy_flags, redacted
 from docsieve.rules import Category, FieldPattern, RuleSet, load_rules
 from tests import plain
 from tests.texts import OTHERS, SAMPLES
@@ -119,3 +120,30 @@ def test_hostile_texts_neither_overflow_nor_stall(spark, rules):
 def test_back_reference_may_need_part_of_a_run(spark, pattern, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(first_match(F.col("t"), pattern).alias("m")).first().m == want
+
+
+PYTHON_ONLY = [r"(?P<inv_no>\d+)", r"(a{,3})b", r"(a{b)", r"(x)?(a+)(?(1)x|b)", r"(?a)(\w+)", r"((?:ab ?){1,}?c)", r"((?:a|b){0,5000}c)",
+               r"([a-z]+)-\1"]
+
+
+def test_patterns_that_java_refuses_are_searched_in_python(spark):
+    values = ["inv 42", "aaab aab", "a{b", "xaax xab aab", "wörd", "ab ab abc", "abab" * 5000 + "c", "xab-ab", "", "é7"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, text string")
+    rows = df.select("id", *[first_match(F.col("text"), p).alias(str(n)) for n, p in enumerate(PYTHON_ONLY)]).collect()
+    for r in rows:
+        for n, p in enumerate(PYTHON_ONLY):
+            m = re.search(p, values[r.id], re.IGNORECASE)
+            assert r[str(n)] == ((m.group(1) or "").strip() if m else ""), (p, values[r.id][:20])
+
+
+def test_privacy_rules_of_any_kind_mask_alike(spark):
+    values = ["id aaab, aab", "x a{b y", "ab-ab xab-ab", "c" + "ab" * 3000, None, ""]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    for pattern in (r"a{,3}b", r"a{b", r"([a-z]+)-\1", r"(?:a|b){0,5000}?b", r"(?P<own_name>id)"):
+        rule = (PrivacyRule("M", pattern),)
+        rows = df.select("t", redacted(F.col("t"), rule).alias("r"), privacy_counts(F.col("t"), rule).alias("n"),
+                         privacy_flags(F.col("t"), rule).alias("f")).collect()
+        for r in rows:
+            want = None if r.t is None else re.subn(pattern, "[M]", r.t)
+            assert (r.r, r.n.m) == (want or (None, None)), (pattern, r.t)
+            assert r.f == (["M"] if want and want[1] else [])
