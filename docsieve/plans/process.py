@@ -33,14 +33,15 @@ _OPTIONAL = {
 
 
 def document_key(df: DataFrame, run_id: str) -> Column:
-    """An id of its own for every row: run, origin and content, and for rows without a path their place.
+    """Deterministic id: run, origin and content, and for rows of a text table their place as well.
 
-    A path tells files apart. Rows of a table may be equal in everything, so these also take their partition
-    and row number. A scan yields the same ones in every action and retry; behind a shuffle supply
+    Files and uploads have the same id however they are partitioned; uploads equal in name and bytes share it.
+    Texts of a table are often equal in everything, so they take their partition and row number too and each
+    has an id of its own. A scan yields the same ones in every action and retry; behind a shuffle supply
     ``document_id``, or use ``run_batch``, which stages the rows once.
     """
     origin = [F.col(c) for c in ("source_path", "source_filename") if c in df.columns]
-    if "source_path" not in df.columns:
+    if not {"source_path", "content"} & set(df.columns):
         origin.append(F.monotonically_increasing_id().cast("string"))
     body = F.col("content") if "content" in df.columns else F.col("parsed_markdown").cast("binary")
     return F.sha2(F.concat_ws("\x1f", F.lit(run_id), *origin, F.sha2(F.coalesce(body, F.lit(b"")), 256)), 256)
