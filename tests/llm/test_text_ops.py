@@ -155,6 +155,26 @@ def test_bands():
     assert 1 - (1 - 0.75 ** rows) ** bands >= 0.98
 
 
+def test_every_pair_of_a_mixed_entry_is_found(spark):
+    """Near and equal paragraphs around one phrase that all of them share, unlike ones between them."""
+    rng = random.Random(5)
+    phrase = " ".join(f"common{i}" for i in range(25))
+    rows = []
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(36)]
+        for copy in range(2):
+            if copy and g % 2:
+                own[rng.choice((1, 34))] = "edited"
+            rows.append((" ".join(own[:18]) + " " + phrase + " " + " ".join(own[18:]) + ".", g))
+    order = rng.sample(range(len(rows)), len(rows))
+    df = spark.createDataFrame([(i, rows[k][0]) for i, k in enumerate(order)], "doc_id long, text string")
+    group = defaultdict(list)
+    for i, k in enumerate(order):
+        group[rows[k][1]].append(i)
+    got = {(r.doc_id, *r.kept_in) for r in substring_dedup.report(df).collect()}
+    assert got == {(max(p), min(p)) for p in group.values()}
+
+
 def test_report_finds_all_long_repeats(spark):
     """Every line of 60 words or more that is equal in two documents is found, by a plain search."""
     docs = spark.read.parquet(f"{SF_LARGER}/documents.parquet")
