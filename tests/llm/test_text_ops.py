@@ -175,6 +175,30 @@ def test_every_pair_of_a_mixed_entry_is_found(spark):
     assert got == {(max(p), min(p)) for p in group.values()}
 
 
+def test_passages_at_any_offset_without_sentence_ends(spark):
+    rng = random.Random(6)
+
+    def words(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(100_000)}" for _ in range(n)]
+    rows, want = [], {}
+    for g in range(40):
+        passage = words(rng.choice((50, 51, 60, 85, 150)))
+        for copy in range(2):
+            low = words(rng.randrange(0, 90))
+            i = 2 * g + copy
+            rows.append((i, " ".join(low + passage + words(rng.randrange(0, 90)))))
+            if copy:
+                want[i] = (len(" ".join(low)) + bool(low), " ".join(passage), i - 1)
+    lone = " ".join(words(49))
+    rows += [(100, lone), (101, lone.upper()), (102, "so " * 400), (103, "go on " * 80 + "x")]
+    got = {r.doc_id: r for r in substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(want) | {102, 103}
+    for i, (start, passage, keep) in want.items():
+        assert any(s.start <= start and s.stop >= start + len(passage) for s in got[i].spans) and got[i].kept_in == [keep]
+        if len(passage.split()) <= 60:
+            assert got[i].n_chars_removed <= 1.5 * len(passage)
+
+
 def test_report_finds_all_long_repeats(spark):
     """Every line of 60 words or more that is equal in two documents is found, by a plain search."""
     docs = spark.read.parquet(f"{SF_LARGER}/documents.parquet")
