@@ -199,6 +199,20 @@ def test_passages_at_any_offset_without_sentence_ends(spark):
             assert got[i].n_chars_removed <= 1.5 * len(passage)
 
 
+def test_every_repeat_within_a_document_goes(spark):
+    """A passage five times in one document, each time with another word changed, and once in a later one."""
+    rng = random.Random(7)
+    words = [f"p{i}" for i in range(60)]
+    parts = []
+    for k in range(6):
+        parts.append(" ".join(words[:30] + [f"changed{k}"] + words[31:]) + ".")
+    text = " ".join(x for p in parts[:5] for x in (p, sentences(rng, 8)))
+    rows = [(1, text), (2, sentences(rng, 8) + " " + parts[5]), (3, sentences(rng, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert "changed0" in out[1] and not any(f"changed{k}" in out[1] + out[2] for k in range(1, 6)) and out[3] == rows[2][1]
+
+
 def test_report_finds_all_long_repeats(spark):
     """Every line of 60 words or more that is equal in two documents is found, by a plain search."""
     docs = spark.read.parquet(f"{SF_LARGER}/documents.parquet")
