@@ -73,6 +73,16 @@ def test_template_is_deleted_where_no_article_is_declared(spark):
     assert html_extract.main_text(df.where("false")).count() == 0
 
 
+def test_heavy_templates_and_runs_of_copies(spark):
+    menu = "".join(f"<div>Menu entry {k} of the site</div>" for k in range(30))
+    rows = [(i, f"http://a.com/n/{i:02d}", f"<body>{menu}<p>short {i}</p><div>End</div>") for i in range(20)]
+    rows += [(20 + i, f"http://a.com/n/07?copy={i}", rows[7][2]) for i in range(5)]
+    rows += [(30 + i, f"http://a.com/mirror{i}/07", rows[7][2]) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert got == {i: f"short {i if i < 20 else 7}" for i, _, _ in rows}
+
+
 def test_page_query(spark):
     rows = QUERIES["op1_html_extraction"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select(
         "page_id", "html"), "page_id").collect()
