@@ -8,7 +8,8 @@ so length does not dilute it. An unseen spelling shares n-grams with the seen on
 
 Scoring needs one number per bucket (the embedding times the softmax), 512 KB in each task.
 
-Defined cases: a null or wordless text scores 0; rows of a null doc_id are never held out and never learned from;
+Defined cases: a run of more than PIECE word characters counts as words of PIECE characters each, whose edges overlap so
+that no n-gram is lost; a null or wordless text scores 0; rows of a null doc_id are never held out and never learned from;
 without labels of both classes every score is 0; repeated rows score alike.
 """
 
@@ -35,12 +36,22 @@ STEPS = 240
 FOLD = 3
 HELD_OUT = 1
 CUT = 0.7
+PIECE = 64
+_OVERLAP = 4
 _WORD = re.compile(r"\w+")
 
 
+def words(text: str | None) -> list[str]:
+    """Lower-cased words, long runs in pieces."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(len(w) <= PIECE for w in found):
+        return found
+    return [w[i:i + PIECE] for w in found for i in range(0, max(len(w) - _OVERLAP, 1), PIECE - _OVERLAP)]
+
+
 def ngrams(word: str) -> list[int]:
     """Buckets of the word and of its 3- to 5-grams, the ends marked."""
-    full = f"<{word[:64]}>"
+    full = f"<{word}>"
     n = len(full)
     grams = {full[i:i + k] for k in (3, 4, 5) for i in range(n - k + 1)} | {full}
     return [zlib.crc32(g.encode("utf-8", "replace")) & (BUCKETS - 1) for g in grams]
@@ -64,11 +75,11 @@ class Model:
         return found
 
     def score(self, text: str | None) -> float:
-        words = _WORD.findall(text.lower()) if text else []
-        if not words:
+        found = words(text)
+        if not found:
             return 0.0
-        z = np.cumsum(np.fromiter(map(self.word, words), np.float64, len(words)))
-        best = z[-1] / len(words) if len(words) <= WINDOW else max(
+        z = np.cumsum(np.fromiter(map(self.word, found), np.float64, len(found)))
+        best = z[-1] / len(found) if len(found) <= WINDOW else max(
             z[WINDOW - 1], (z[WINDOW:] - z[:-WINDOW]).max()) / WINDOW
         return 1.0 / (1.0 + math.exp(-min(max(best + self.bias, -500.0), 500.0)))
 
@@ -131,7 +142,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, rounds: int = 12) -
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -50.0)
     ids: dict[str, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in _WORD.findall((t or "").lower())], np.int64)
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in words(t)], np.int64)
             for t in texts]
     kept = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in kept], np.array([labels[i] for i in kept])

@@ -252,6 +252,13 @@ def test_toxicity_held_out(spark):
     assert np.mean(hits[1]) > 0.7 and np.mean(hits[0]) < 0.02
 
 
+def test_long_runs_are_read_to_their_end():
+    model = toxicity.fit(["you idiot there", "fine day there"] * 20, [1, 0] * 20)
+    for n in range(55, 190):
+        assert model.score("x" * n + "idiot" + "x" * 9) > model.score("x" * (n + 14))
+    assert toxicity.words("a" * 64 + " b") == ["a" * 64, "b"]
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     model = toxicity.fit(["you idiot there", "fine day there"] * 20, [1, 0] * 20)
     assert model.score("an idiott speaks") > model.score("a day speaks")
