@@ -20,7 +20,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import with_position
@@ -34,10 +34,11 @@ BLOCK = 1024
 FAN_IN = 256
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """source, doc_id, size and a row number, written once: nothing later reads the texts."""
+def document_sizes(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """source, doc_id, size and a row number (``row`` if given), written once: nothing later reads the texts."""
+    row = F.monotonically_increasing_id() if row is None else row
     return stage(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast(
-        "long").alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+        "long").alias("size"), row.alias("row")), "sizes")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
@@ -110,7 +111,12 @@ _UNITS = "row long, doc_id long, size long, s long, block long, mass double"
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
         most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken; one row per document."""
-    sizes = document_sizes(docs)
+    return _plan(document_sizes(docs), weights, share, most).drop("row")
+
+
+def _plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
+          most: float = MOST) -> DataFrame:
+    """What ``mix`` gives, and row."""
     targets = with_position(source_targets(sizes, weights, share, most), "source", name="s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # The table of sources is in a file, so the optimizer knows its size and broadcasts it only if small.
@@ -135,7 +141,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     extra = settled.unionByName(left).select("row", F.col("mass").alias("rounded"))
     copies = F.col("whole") + F.when((F.col("rounded") > 0) & (F.col("size") > 0), F.lit(1)).otherwise(F.lit(0))
     return units.drop("mass").join(extra, "row").select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn(
+        "row", "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn(
         "taken", F.col("size") * F.col("copies"))
 
 
@@ -148,10 +154,11 @@ def _height(targets: DataFrame) -> int:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Rows that share an id take the rounded mean
-    of their copies."""
-    plan = mix(docs.select("doc_id", "source", "text"), **options).groupBy(F.col("doc_id").alias("__id__")).agg(
-        F.round(F.avg("copies")).cast("int").alias("__copies__")).where("__copies__ > 0")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id__"])).withColumn(
+    """The rows of ``docs``, each as often as the mix takes it. The rows are written once with a number, so that rows
+    that share an id keep copies of their own."""
+    numbered = stage(docs.withColumn("__row__", F.monotonically_increasing_id()), "numbered")
+    plan = _plan(document_sizes(numbered, F.col("__row__")), **options).select(
+        F.col("row").alias("__row__"), F.col("copies").cast("int").alias("__copies__")).where("__copies__ > 0")
+    return numbered.join(plan, "__row__").withColumn(
         "__n__", F.explode(F.array_repeat(F.lit(1), F.col("__copies__")))).select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -270,6 +270,18 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, none).count() == 0
 
 
+# Mixing -----------------------------------------------------------------------------------------------
+
+def test_rows_of_one_id_are_mixed_row_by_row(spark):
+    rows = [(None if i % 2 else 7, f"text of {i} here", "ab"[i % 3 == 0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit("own"))
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns
+    taken = {r.source: r.words for r in got.groupBy("source").agg((4 * F.count("*")).alias("words")).collect()}
+    target = {r.source: r.target for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    assert set(taken) == set(target) and all(abs(taken[s] - target[s]) <= 4 for s in target)
+
+
 # Pipeline ---------------------------------------------------------------------------------------------
 
 def test_pipeline_against_plain_version(spark):
