@@ -1,4 +1,4 @@
-"""Registered queries of the ten operations, each over its whole table, and their DuckDB statements."""
+"""Registered queries of the operations, each over its whole table, and their DuckDB statements."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import (
-    chat_format, exact_dedup, html_extract, jaccard_join, mixing, quality_rules, sentencepiece_lattice, substring_dedup,
-    token_counts, toxicity)
+    chat_format, exact_dedup, html_extract, jaccard_join, license_scan, mixing, prefix_trie, quality_rules,
+    sentencepiece_lattice, spelling_variants, statements, substring_dedup, token_counts, toxicity)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,6 +66,19 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat_format.formatted_conversations(turns.unionByName(extra))
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns, members = prefix_trie.with_shared_openings(prefix_trie.ordered_turns(_table(spark, sf, "conversations")))
+    return prefix_trie.prefix_trie(turns, members)
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants.spelling_variants(spelling_variants.word_counts(_table(spark, sf, "documents"), damage=97))
+
+
+def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_exact_dedup": op2_exact_dedup,
@@ -77,6 +90,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_license_scan": op13_license_scan,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -131,4 +147,7 @@ ORACLES = {
                   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
         SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, min(other) AS component_id
         FROM t LEFT JOIN n USING (doc_id) JOIN reach r ON r.doc_id = t.doc_id GROUP BY t.doc_id, n.n""",
+    "op11_prefix_trie": statements.PREFIX_TRIE,
+    "op12_spelling_variants": statements.SPELLING_VARIANTS,
+    "op13_license_scan": statements.LICENSE_SCAN,
 }
