@@ -301,3 +301,72 @@ def any_word_pattern(words: Iterable[str], letters_per_group: int = 8) -> str:
             guard += _char_class(w[1] for w in members)
         groups.append(f"(?={guard}){_trie(members)}")
     return "(?=(" + "|".join(groups) + "))"
+
+
+# How often a letter stands in English text, per thousand letters, and the space.
+_PER_MILLE = {
+    " ": 180, "e": 127, "t": 91, "a": 82, "o": 75, "i": 70, "n": 67, "s": 63, "h": 61, "r": 60, "d": 43, "l": 40, "c": 28,
+    "u": 28, "m": 24, "w": 24, "f": 22, "g": 20, "y": 20, "p": 19, "b": 15, "v": 10, "k": 8, "j": 2, "x": 2, "q": 1, "z": 1}
+
+
+def _often(char: str) -> int:
+    return _PER_MILLE.get(char, 5)
+
+
+def _anchor_letters(words: list[str]) -> set[str]:
+    """Few and rare letters of which each word has one before its last place: the cheapest letter per word, in turn."""
+    open_words, chosen = list(words), set()
+    while open_words:
+        covers: dict[str, int] = {}
+        for word in open_words:
+            for c in set(word[:-1]):
+                covers[c] = covers.get(c, 0) + 1
+        best = min(sorted(covers), key=lambda c: _often(c) / covers[c])
+        chosen.add(best)
+        open_words = [w for w in open_words if best not in w[:-1]]
+    for c in sorted(chosen, key=lambda c: (-_often(c), c)):
+        if all((chosen - {c}) & set(w[:-1]) for w in words):
+            chosen -= {c}
+    return chosen
+
+
+def anchored_pattern(words: Iterable[str]) -> tuple[str, dict[str, str]]:
+    """A pattern for a first pass over a text, and the tail of each word from its anchor on.
+
+    The anchor is a rare letter of the word, one of few for all words. Nearly all positions of a text fail one look
+    at a letter, so this pass costs a fraction of one that names the words. Where a whole word stands around an
+    anchor, group 1 is its tail, the longest of several. So a word occurs only if its tail begins some tail found.
+    Words of one letter or none have no anchor and are left out.
+    """
+    words = sorted({w for w in words if len(w) > 1})
+    if not words:
+        return "(?!)()", {}
+    letters = _anchor_letters(words)
+    heads: dict[str, set[str]] = {}
+    tails: dict[str, str] = {}
+    for word in words:
+        at = min((i for i in range(len(word) - 1) if word[i] in letters),
+                 key=lambda i: (_often(word[i]) * _often(word[i + 1]), i))
+        tails[word] = word[at:]
+        heads.setdefault(word[at:], set()).add(word[:at])
+
+    def literal(text: str) -> str:
+        return "".join(map(_quote, text))
+
+    def surrounded(tail: str) -> str:
+        before = sorted(heads[tail])
+        behind = "" if "" in before else "(?:" + "|".join(f"(?<={literal(b + tail)})" for b in before) + ")"
+        return literal(tail[2:]) + behind
+
+    by_pair: dict[str, list[str]] = {}
+    for tail in sorted(heads, key=lambda t: (-len(t), t)):
+        by_pair.setdefault(tail[:2], []).append(tail)
+    by_first: dict[str, list[str]] = {}
+    for pair in sorted(by_pair):
+        by_first.setdefault(pair[0], []).append(
+            _quote(pair[1]) + "(?:" + "|".join(map(surrounded, by_pair[pair])) + ")")
+    seconds = {first: {p[1] for p in by_pair if p[0] == first} for first in by_first}
+    body = "|".join(f"{_quote(first)}(?={_char_class(seconds[first])})(?:{'|'.join(ways)})"
+                    for first, ways in by_first.items())
+    # The letter is consumed before anything else is looked at: that is the fast path through a text.
+    return f"{_char_class(by_first)}(?={_char_class(p[1] for p in by_pair)})(?<=(?=({body})).)", tails

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsieve.functions.binding import constant, let
-from docsieve.functions.regex import any_word_pattern
+from docsieve.functions.regex import anchored_pattern, any_word_pattern
 from docsieve.rules import Category, RuleSet
 
 # The exclusion factor and the messages are part of every result.
@@ -67,6 +67,33 @@ def keyword_hits(low: Column, rules: RuleSet) -> Column:
     return found
 
 
+def may_score(low: Column, rules: RuleSet) -> Column:
+    """Whether any category can reach its least number of primary words: false only if none does.
+
+    A cheap first pass over the lower-cased text. It finds the tails of primary words from their rare letters on;
+    the words whose tails begin these bound a category's hits from above. Only texts that pass are searched for
+    the words themselves, and so for secondary and exclusion words.
+    """
+    pattern, tails = anchored_pattern(k for c in rules for k in c.primary)
+    every, bounds = sorted(set(tails.values())), []
+    for c in rules:
+        short = sum(word not in tails for word in c.primary)  # a word without an anchor counts as found
+        if c.min_primary <= short:
+            return F.lit(True)
+        counts = {t: sum(t.startswith(tails[w]) for w in c.primary if w in tails) for t in every}
+        bounds.append({"need": c.min_primary - short, "counts": {t: n for t, n in counts.items() if n}})
+    if not bounds:
+        return F.lit(False)
+    table = constant(bounds, "array<struct<need:int,counts:map<string,int>>>")
+
+    def enough(found: Column) -> Column:
+        return F.exists(table, lambda b: F.aggregate(
+            found, F.lit(0), lambda n, tail: n + F.coalesce(F.try_element_at(b["counts"], tail), F.lit(0))) >= b["need"])
+
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
+    return let(found, lambda f: (F.size(f) > 0) & enough(f))
+
+
 def _tier(words: Column, hits: Column, repeats: bool) -> Column:
     """The words of a tier that were hit, in dictionary order; a word listed twice counts twice."""
     if repeats:
@@ -74,11 +101,12 @@ def _tier(words: Column, hits: Column, repeats: bool) -> Column:
     return F.array_intersect(words, hits)
 
 
-def category_scores(text: Column, rules: RuleSet) -> Column:
+def category_scores(text: Column, rules: RuleSet, only_positive: bool = False) -> Column:
     """One struct per category: confidence, evidence counts and matched keywords.
 
     ``rank`` falls with the index position, so ordering by (confidence, rank) puts the first of
-    several equal categories on top.
+    several equal categories on top. With ``only_positive`` a text in which no category can score has no
+    structs, after the first pass of ``may_score`` alone; for all others the result is the same.
     """
     repeats = any(len(set(t)) < len(t) for c in rules for t in (c.primary, c.secondary))
     none = F.array().cast("array<string>")
@@ -107,8 +135,18 @@ def category_scores(text: Column, rules: RuleSet) -> Column:
                 s.isNotNull() & F.arrays_overlap(c["exclusion"], hits),
                 lambda x: score(c, hits, p, s, x))))
 
-    hits = keyword_hits(F.lower(F.coalesce(text, F.lit(""))), rules)
-    return let(hits, lambda h: F.transform(rule_array(rules), lambda c: one(c, h)))
+    def scores(low: Column) -> Column:
+        return let(keyword_hits(low, rules), lambda h: F.transform(rule_array(rules), lambda c: one(c, h)))
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    if not only_positive:
+        return scores(low)
+    return let(low, lambda low: F.when(may_score(low, rules), scores(low)))
+
+
+def scored_best(text: Column, rules: RuleSet) -> Column:
+    """``best_score`` of a text; texts without enough primary words are passed over once and cheaply."""
+    return best_score(category_scores(text, rules, only_positive=True))
 
 
 def best_score(scores: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions.binding import computed_once
+from docsieve.functions.binding import computed_once, let
 from docsieve.functions.regex import first_match, java_search
 from docsieve.functions.scoring import (
-    EXCLUSION_FACTOR, best_score, category_scores, confidence_text, escalation_reason, keyword_hits)
+    EXCLUSION_FACTOR, category_scores, confidence_text, escalation_reason, keyword_hits, may_score,
+    scored_best)
 from docsieve.rules import RuleSet
 from docsieve.sources.rule_tables import category_table, keyword_table, small
 
@@ -34,7 +35,7 @@ def classification(best: Column, rules: RuleSet) -> Column:
 
 def classify(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
     """Add the classification columns. One scan of the text, no shuffle, no Python."""
-    scored = computed_once(df, "_best", best_score(category_scores(F.col(text), rules)))
+    scored = computed_once(df, "_best", scored_best(F.col(text), rules))
     decided = scored.withColumn("_decision", classification(F.col("_best"), rules))
     return decided.select("*", "_decision.*").drop("_best", "_decision", "confidence_text")
 
@@ -75,13 +76,19 @@ def explain_scores(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFra
         F.col("_score.matched").alias("matched_keywords"))
 
 
-def keyword_evidence(df: DataFrame, rules: RuleSet, key: str, text: str = "text") -> DataFrame:
+def keyword_evidence(df: DataFrame, rules: RuleSet, key: str, text: str = "text",
+                     only_positive: bool = False) -> DataFrame:
     """Long form: one row per document, category, tier and keyword that occurs in the text.
 
+    With ``only_positive`` documents in which no category can score have no rows.
+
     The text is scanned once for all words; what follows is an equi join of the few hits with the
     keyword table, so the text itself never meets a join or a shuffle.
     """
-    hits = df.select(key, F.explode(keyword_hits(F.lower(F.coalesce(text, F.lit(""))), rules)).alias("keyword"))
+    def hits_of(low: Column) -> Column:
+        return F.when(may_score(low, rules), keyword_hits(low, rules)) if only_positive else keyword_hits(low, rules)
+
+    hits = df.select(key, F.explode(let(F.lower(F.coalesce(text, F.lit(""))), hits_of)).alias("keyword"))
     words = keyword_table(df.sparkSession, rules)
     return hits.join(small(words, sum(len(c.primary) + len(c.secondary) + len(c.exclusion) for c in rules)),
                      "keyword")
@@ -90,10 +97,11 @@ def keyword_evidence(df: DataFrame, rules: RuleSet, key: str, text: str = "text"
 def classify_long(df: DataFrame, rules: RuleSet, key: str, text: str = "text") -> DataFrame:
     """The winning category of each document that has one, computed relationally.
 
-    Equal to the expression form. The evidence carries no text and is pre-aggregated per document
-    and category on the map side.
+    Equal to the expression form. The evidence carries no text and is shuffled once, by document; both
+    aggregations keep that partitioning.
     """
-    counts = keyword_evidence(df, rules, key, text).groupBy(key, "category").agg(
+    evidence = keyword_evidence(df, rules, key, text, only_positive=True).repartition(key)
+    counts = evidence.groupBy(key, "category").agg(
         F.count_if(F.col("tier") == "primary").alias("p"),
         F.count_if(F.col("tier") == "secondary").alias("s"),
         F.bool_or(F.col("tier") == "exclusion").alias("excluded"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.binding import computed_once
 from docsieve.functions.rounding import round_exact
-from docsieve.functions.scoring import best_score, category_scores
+from docsieve.functions.scoring import scored_best
 from docsieve.operators.classify import classification, field_map
 from docsieve.operators.fallback import Infer, apply_fallback, prompt
 from docsieve.operators.metadata import office_properties
@@ -56,7 +56,7 @@ def classify_state(df: DataFrame, rules: RuleSet,
         F.coalesce(text, F.lit("")) == "", F.lit(NO_TEXT))
     flagged = df.withColumn("pipeline_error", error)
     runs = F.col("pipeline_error").isNull()
-    scored = computed_once(flagged, "_best", best_score(category_scores(F.when(runs, text), rules)))
+    scored = computed_once(flagged, "_best", scored_best(F.when(runs, text), rules))
     decided = scored.withColumn("_decision", F.when(runs, classification(F.col("_best"), rules)))
     reason = F.col("_decision.llm_escalation_reason")
     # Whole documents are masked before a prompt with a limit takes its leading characters.

@@ -1,0 +1,65 @@
+"""What scoring and extraction must give, stated as one DuckDB query and by pandas' own regular expressions."""
+
+import re
+
+import duckdb
+import pandas as pd
+
+SCORES = """
+    WITH hits AS (
+        SELECT id, ordinal, tier, pos, word FROM texts JOIN words ON contains(low, word)),
+    sums AS (
+        SELECT t.id, c.*, count(*) FILTER (tier = 1) AS p, count(*) FILTER (tier = 2) AS s,
+               count(*) FILTER (tier = 3) > 0 AS x,
+               coalesce(list(word ORDER BY tier, pos) FILTER (tier < 3), []) AS matched
+        FROM texts t CROSS JOIN categories c LEFT JOIN hits h ON h.id = t.id AND h.ordinal = c.ordinal
+        GROUP BY ALL)
+    SELECT id, ordinal, slug, threshold,
+           CASE WHEN p < min_primary OR top = 0 THEN 0.0
+                ELSE (p * pw + s * sw)::DOUBLE / top * (CASE WHEN x THEN 0.3::DOUBLE ELSE 1 END) END AS confidence,
+           CASE WHEN p < min_primary THEN [] ELSE matched END AS matched
+    FROM sums"""
+DECISIONS = f"""
+    WITH scores AS ({SCORES}),
+    best AS (SELECT * FROM scores WHERE confidence > 0
+             QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, ordinal) = 1)
+    SELECT id, CASE WHEN confidence >= threshold THEN slug ELSE 'unclassified' END,
+           CASE WHEN confidence >= threshold THEN 'deterministic' ELSE 'unclassified' END,
+           coalesce(confidence, 0.0), coalesce(matched, []),
+           CASE WHEN slug IS NULL THEN 'No categories available for scoring'
+                WHEN confidence < threshold THEN printf('Best match ''%s'' scored %.4f but threshold is %.2f',
+                                                        slug, confidence, threshold) END
+    FROM texts LEFT JOIN best USING (id) ORDER BY id"""
+
+
+def _run(rules, values, query):
+    texts = pd.DataFrame({"id": range(len(values)), "low": pd.Series([v.lower() for v in values], dtype=object)})  # noqa: F841
+    words = pd.DataFrame(  # noqa: F841
+        [(i, tier, pos, w) for i, c in enumerate(rules)
+         for tier, some in ((1, c.primary), (2, c.secondary), (3, c.exclusion)) for pos, w in enumerate(some)],
+        columns=["ordinal", "tier", "pos", "word"]).astype({"word": object})
+    categories = pd.DataFrame(  # noqa: F841
+        [(i, c.slug, c.threshold, c.min_primary, c.primary_weight, c.secondary_weight, c.max_score)
+         for i, c in enumerate(rules)], columns=["ordinal", "slug", "threshold", "min_primary", "pw", "sw", "top"])
+    return duckdb.connect().execute(query).fetchall()
+
+
+def decisions(rules, values):
+    """(category, method, confidence, matched, reason) per text."""
+    return [row[1:] for row in _run(rules, values, DECISIONS)]
+
+
+def scores(rules, values):
+    """(confidence, matched) by text number and slug."""
+    return {(row[0], row[2]): (row[4], row[5]) for row in _run(rules, values, SCORES)}
+
+
+def fields(category, values):
+    """The fields of each text, one pandas extraction per pattern over all of them."""
+    column, out = pd.Series(list(values), dtype=object), [{} for _ in values]
+    for p in category.patterns:
+        groups = column.str.extract(p.pattern if p.group else f"({p.pattern})", flags=re.IGNORECASE)
+        found = groups.iloc[:, max(p.group - 1, 0)].fillna("").str.strip()
+        for row, value in found[found != ""].items():
+            out[row][p.field] = value
+    return out

@@ -1,11 +1,9 @@
 """The plans themselves: no shuffle, no Python and one scan of the text on the rule path."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from docsieve import audit_records, classify, from_text, payload, process
-from docsieve.operators.classify import keyword_evidence
+from docsieve.operators.classify import classify_long, explain_scores, keyword_evidence
 from docsieve.plans.quality import integrity_breaches
 from docsieve.session import spread, stage
 
@@ -21,7 +19,8 @@ def plan(df):
 
 
 def scans_of_text(text):
-    return len(re.findall(r"regexp_extract_all\(lower", text))
+    """First passes for anchors, and passes for all words, in a plan."""
+    return text.count("(?<=(?=("), text.count("(?=((?=[")
 
 
 def test_rule_path_is_one_narrow_pass(spark, rules, tmp_path):
@@ -31,17 +30,23 @@ def test_rule_path_is_one_narrow_pass(spark, rules, tmp_path):
                audit_records(process(from_text(docs, "text", "doc_id", "doc_id"), rules))):
         text = plan(df)
         assert "Exchange" not in text and "Python" not in text and "Join" not in text
-        assert scans_of_text(text) == 1
+        assert scans_of_text(text) == (1, 1)
         assert "ReadSchema: struct<doc_id:string,text:string>" in text
 
 
 def test_filters_do_not_repeat_the_scoring(spark, rules, tmp_path):
     decided = classify(table(spark, tmp_path), rules)
     text = plan(decided.filter("document_category = 'invoice' and classification_confidence > 0.5").groupBy("document_category").count())
-    assert scans_of_text(text) == 1
+    assert scans_of_text(text) == (1, 1)
     assert plan(decided.filter("doc_id = '3'")).count("PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3)]") == 1
 
 
+def test_long_form_is_one_shuffle(spark, rules, tmp_path):
+    text = plan(classify_long(table(spark, tmp_path), rules, "doc_id"))
+    assert text.count("Exchange hashpartitioning") == 1 and scans_of_text(text) == (1, 1)
+    assert scans_of_text(plan(explain_scores(table(spark, tmp_path), rules))) == (0, 1)
+
+
 def test_evidence_joins_hits_not_texts(spark, rules, tmp_path):
     text = plan(keyword_evidence(table(spark, tmp_path), rules, "doc_id"))
     assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Cartesian" not in text

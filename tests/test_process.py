@@ -11,7 +11,7 @@ from docsieve.operators.route import needs_fallback
 from docsieve.operators.validate import validate
 from docsieve.schemas import AUDIT, PAYLOAD
 from docsieve.sinks.tables import export_audit_csv, read_audit
-from tests import plain
+from tests import expected
 from tests.texts import OTHERS, SAMPLES
 
 NO_TEXT = "No parsed Markdown available for classification"
@@ -33,7 +33,7 @@ def test_every_sample_flows_through(spark, rules):
     for slug, text in SAMPLES.items():
         r = rows[f"{slug}.pdf"]
         assert (r.document_category, r.classification_method) == (slug, "deterministic")
-        assert r.extracted_fields == plain.fields(rules.get(slug), text)
+        assert r.extracted_fields == expected.fields(rules.get(slug), [text])[0]
         missing = [f for f in rules.get(slug).mandatory if f not in r.extracted_fields]
         assert r.validation_errors == [f"Missing mandatory field: '{f}'" for f in missing]
         assert r.validation_status == ("partial" if missing else "valid")

@@ -8,10 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsieve.functions.rounding import round_exact
-from docsieve.functions.scoring import category_scores, keyword_hits
+from docsieve.functions.scoring import category_scores, keyword_hits, may_score
 from docsieve.operators.classify import classify, classify_long, explain_scores, keyword_evidence
 from docsieve.rules import Category, RuleSet
-from tests import plain
+from tests import expected
 from tests.texts import OTHERS, SAMPLES
 
 
@@ -21,10 +21,10 @@ def texts(spark, values):
 
 def check(spark, rules, values):
     got = {r.id: r for r in classify(texts(spark, values), rules).collect()}
-    for i, value in enumerate(values):
+    for (i, value), want in zip(enumerate(values), expected.decisions(rules, values)):
         r = got[i]
         assert (r.document_category, r.classification_method, r.classification_confidence,
-                r.matched_keywords, r.llm_escalation_reason) == plain.decide(rules, value), value
+                r.matched_keywords, r.llm_escalation_reason) == want, value
 
 
 def test_samples_reach_their_category(spark, rules):
@@ -33,7 +33,7 @@ def test_samples_reach_their_category(spark, rules):
     assert all(r.classification_method == "deterministic" and r.llm_escalation_reason is None for r in rows)
 
 
-def test_samples_and_odd_texts_match_plain_python(spark, rules):
+def test_samples_and_odd_texts_match_the_query(spark, rules):
     check(spark, rules, [*SAMPLES.values(), *OTHERS])
 
 
@@ -53,7 +53,7 @@ def mixtures(rules, n, seed):
     return out
 
 
-def test_random_mixtures_match_plain_python(spark, rules):
+def test_random_mixtures_match_the_query(spark, rules):
     check(spark, rules, mixtures(rules, 400, 7))
 
 
@@ -61,17 +61,18 @@ def test_long_form_equals_expression_form(spark, rules):
     values = [*SAMPLES.values(), *OTHERS, *mixtures(rules, 150, 11)]
     df = texts(spark, values)
     long = {r.id: (r.category, r.confidence, r.matched) for r in classify_long(df, rules, "id").collect()}
-    for i, value in enumerate(values):
-        scores = [(plain.score(c, value), c) for c in rules]
-        (confidence, matched), c = max(scores, key=lambda s: s[0][0])
-        assert long.get(i) == ((c.slug, confidence, matched) if confidence > 0 else None)
+    scores = expected.scores(rules, values)
+    for i in range(len(values)):
+        slug = max(rules.slugs, key=lambda slug: scores[i, slug][0])
+        assert long.get(i) == ((slug, *scores[i, slug]) if scores[i, slug][0] > 0 else None)
 
 
 def test_explain_lists_every_category(spark, rules):
     rows = explain_scores(texts(spark, [SAMPLES["receipt"]]), rules).orderBy("ordinal").collect()
     assert [r.category for r in rows] == rules.slugs
-    for r, c in zip(rows, rules):
-        assert (r.confidence, r.matched_keywords) == plain.score(c, SAMPLES["receipt"])
+    scores = expected.scores(rules, [SAMPLES["receipt"]])
+    for r in rows:
+        assert (r.confidence, r.matched_keywords) == scores[0, r.category]
 
 
 def test_evidence_rows(spark, rules):
@@ -124,6 +125,37 @@ def test_hits_are_exactly_the_substrings(spark, words, values):
         assert sorted(r.h) == sorted({w for w in words if w in values[r.id]})
 
 
+def test_a_score_worked_by_hand(spark):
+    """Two of two primary words at weight 2 and one of one secondary: 5 of 5; one primary word only: 2 of 5."""
+    rows = classify(texts(spark, ["abc x", "ab", "abc x no"]), small_rules()).orderBy("id").collect()
+    assert [r.classification_confidence for r in rows] == [1.0, 0.4, 1.0 * 0.30]
+    assert [r.matched_keywords for r in rows] == [["ab", "abc", "x"], ["ab"], ["ab", "abc", "x"]]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(WORDS, min_size=1, max_size=10), st.integers(0, 3),
+       st.lists(st.text(alphabet="ab.-# éc", max_size=30), min_size=1, max_size=8))
+def test_the_first_pass_never_loses_a_score(spark, words, need, values):
+    rules = RuleSet((Category(slug="a", display_name="A", threshold=0.5, primary=tuple(words), min_primary=need,
+                              secondary=("c",)),))
+    rows = texts(spark, values).select(
+        "text", may_score(F.col("text"), rules).alias("may"), category_scores(F.col("text"), rules).alias("full"),
+        category_scores(F.col("text"), rules, only_positive=True).alias("short")).collect()
+    for r in rows:
+        if r.may:
+            assert r.short == r.full
+        else:
+            assert r.short is None and all(s.confidence == 0 for s in r.full)
+            assert sum(w in r.text for w in words) < need
+
+
+def test_the_first_pass_stops_most_texts_of_other_kinds(spark, rules):
+    """Single primary words, and pieces of others, do not open the second pass; enough of one category do."""
+    values = ["po", "popular port", "term po receipts", "bill ton nage", "a contract, whereas the parties"]
+    rows = texts(spark, values).orderBy("id").select(may_score(F.col("text"), rules).alias("may")).collect()
+    assert [r.may for r in rows] == [False, False, False, False, True]
+
+
 def test_rounding_follows_the_binary_value(spark):
     values = sorted({n / top * f for top in (68, 73, 75, 77, 80, 81) for n in range(top + 1) for f in (1, 0.30)}
                     - {0.0}) + [0.0, 1.0, 0.03125, 0.09375, 0.5, 0.85678, 5e-324, 2 ** -20, 2 ** -10]
