@@ -6,11 +6,13 @@ Arrow-batched iterator UDF that receives the prompt column only, NULL for every
 
 from __future__ import annotations
 
+import inspect
 import json
 import sys
 import time
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from functools import partial
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -72,63 +74,99 @@ def parse_reply(reply: str, slugs: frozenset[str]) -> tuple[str, float] | None:
     return slug, round(max(0.0, min(1.0, score)), CONFIDENCE_DECIMALS)
 
 
+class Answer(NamedTuple):
+    """What one prompt got: a usable category and confidence, or the reason why not."""
+
+    category: str | None = None
+    confidence: float | None = None
+    failure: str | None = None
+    reply: str | None = None
+
+
+def addressed(infer: Infer, system: str = SYSTEM_PROMPT) -> Infer:
+    """``infer`` with the system prompt, if it takes one as keyword ``system``."""
+    try:
+        takes = "system" in inspect.signature(infer).parameters
+    except (TypeError, ValueError):  # a callable without a signature
+        takes = False
+    return partial(infer, system=system) if takes else infer
+
+
+def ask_once(prompts: Sequence[str], infer: Infer, slugs: frozenset[str]) -> list[Answer]:
+    """One call for all prompts. A model that fails is an expected outcome; its error is the reason given."""
+    try:
+        replies = list(infer(prompts))
+    except Exception as exc:  # noqa: BLE001
+        return [Answer(failure=f"{type(exc).__name__}: {exc}")] * len(prompts)
+    answers = []
+    for reply in (*replies[:len(prompts)], *[None] * (len(prompts) - len(replies))):
+        known = parse_reply(reply, slugs) if isinstance(reply, str) else None
+        text = reply if isinstance(reply, str) else None
+        failure = "no reply" if text is None else "unusable reply" if known is None else None
+        answers.append(Answer(*(known or (None, None)), failure, text))
+    return answers
+
+
 def infer_batch(prompts: Sequence[str], infer: Infer, slugs: frozenset[str], max_retries: int,
-                delay: float) -> list[tuple[str, float] | None]:
+                delay: float) -> list[Answer]:
     """Ask for all prompts; ask again, with growing pauses, only for those still unanswered."""
-    answers: list[tuple[str, float] | None] = [None] * len(prompts)
+    answers = [Answer()] * len(prompts)
     for attempt in range(max_retries + 1):
-        waiting = [i for i, a in enumerate(answers) if a is None]
+        waiting = [i for i, a in enumerate(answers) if a.category is None]
         if not waiting:
             break
         if attempt and delay:
             time.sleep(delay * 2 ** (attempt - 1))
-        try:
-            replies = infer([prompts[i] for i in waiting])
-        except Exception:  # noqa: BLE001 - an unreachable model is an expected outcome
-            continue
-        for i, reply in zip(waiting, replies):
-            answers[i] = parse_reply(reply, slugs) if isinstance(reply, str) else None
+        for i, answer in zip(waiting, ask_once([prompts[i] for i in waiting], infer, slugs)):
+            answers[i] = answer
     return answers
 
 
 def ask_model(prompts: Column, infer: Infer, rules: RuleSet, *, max_retries: int = MAX_RETRIES,
               delay: float = RETRY_DELAY_SECONDS, batch_size: int = 64) -> Column:
-    """Struct of category and confidence per prompt; both NULL without a prompt or an answer."""
-    slugs = frozenset(rules.slugs)
+    """Struct of category, confidence and failure per prompt; all NULL without a prompt."""
+    slugs, infer = frozenset(rules.slugs), addressed(infer)
 
-    @F.pandas_udf("category string, confidence double")
+    @F.pandas_udf("category string, confidence double, failure string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple[Any, Any]] = [(None, None)] * len(batch)
+            out: list[tuple[Any, ...]] = [(None, None, None)] * len(batch)
             asked = [i for i, p in enumerate(batch) if p is not None]
             for start in range(0, len(asked), batch_size):
                 chunk = asked[start:start + batch_size]
                 answers = infer_batch([batch.iloc[i] for i in chunk], infer, slugs, max_retries, delay)
                 for i, answer in zip(chunk, answers):
-                    out[i] = answer or (None, None)
-            yield pd.DataFrame(out, columns=["category", "confidence"]).astype(
-                {"category": object, "confidence": "float64"})
+                    out[i] = answer[:3]
+            yield pd.DataFrame(out, columns=["category", "confidence", "failure"]).astype(
+                {"category": object, "confidence": "float64", "failure": object})
 
     return run.asNondeterministic()(prompts)
 
 
+def with_answers(df: DataFrame, reply: str) -> DataFrame:
+    """The decision columns from a struct column of category, confidence and failure, which is consumed."""
+    asked, hit = F.col("fallback_prompt").isNotNull(), F.col(f"{reply}.category").isNotNull()
+    return df.withColumns({
+        "document_category": F.when(hit, F.col(f"{reply}.category")).otherwise(F.col("document_category")),
+        "classification_method": F.when(hit, F.lit("llm_fallback")).otherwise(F.col("classification_method")),
+        "classification_confidence": F.when(hit, F.col(f"{reply}.confidence"))
+        .otherwise(F.col("classification_confidence")),
+        "llm_unavailable": F.when(asked, ~hit),
+        "llm_failure": F.when(asked & ~hit, F.coalesce(f"{reply}.failure", F.lit("not asked"))),
+    }).drop(reply, "fallback_prompt")
+
+
 def apply_fallback(df: DataFrame, rules: RuleSet, infer: Infer | None, **settings: Any) -> DataFrame:
     """Resolve rows that carry a ``fallback_prompt``; the column is consumed.
 
     An answer replaces category, method and confidence and leaves reason and keywords in place. No
-    answer, no model or no categories marks the document ``llm_unavailable``.
+    answer, no model or no categories marks the document ``llm_unavailable``, and ``llm_failure`` says why.
     """
     if infer is None or not len(rules):
         # Asking the reason, not the prompt, lets the optimizer drop the prompt from the plan.
         escalated = F.col("llm_escalation_reason").isNotNull()
-        return df.withColumn("llm_unavailable", F.when(escalated, F.lit(True))).drop("fallback_prompt")
-    asked = F.col("fallback_prompt").isNotNull()
-    answered = df.withColumn("_reply", ask_model(F.col("fallback_prompt"), infer, rules, **settings))
-    hit = F.col("_reply.category").isNotNull()
-    return answered.withColumns({
-        "document_category": F.when(hit, F.col("_reply.category")).otherwise(F.col("document_category")),
-        "classification_method": F.when(hit, F.lit("llm_fallback")).otherwise(F.col("classification_method")),
-        "classification_confidence": F.when(hit, F.col("_reply.confidence"))
-        .otherwise(F.col("classification_confidence")),
-        "llm_unavailable": F.when(asked, ~hit),
-    }).drop("_reply", "fallback_prompt")
+        why = "no model" if infer is None else "no categories"
+        return df.withColumns({"llm_unavailable": F.when(escalated, F.lit(True)),
+                               "llm_failure": F.when(escalated, F.lit(why))}).drop("fallback_prompt")
+    return with_answers(
+        df.withColumn("_reply", ask_model(F.col("fallback_prompt"), infer, rules, **settings)), "_reply")
