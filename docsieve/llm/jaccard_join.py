@@ -38,7 +38,9 @@ FREQUENT = 64
 MAX_FREQUENT = 200_000
 #: Sets up to this size index single tokens of any class.
 SMALL = 7
-_LIMIT = 1 << 24
+#: Set sizes and bounds share a long; a text has fewer than 2**31 characters, so no set comes near this.
+_BITS = 31
+_LIMIT = 1 << _BITS
 
 
 def least_partner(n: int) -> int:
@@ -160,7 +162,7 @@ class _Index:
                 sig, most = signatures(tokens, self.frequent)
                 sigs.append(sig.view(np.int64))
                 ids.append(np.full(len(sig), doc_id, np.int64))
-                packed.append((len(tokens) << 24) + most)
+                packed.append((len(tokens) << _BITS) + most)
                 held += len(sig)
                 if held > 500_000:
                     yield _entries(sigs, ids, packed)
@@ -203,7 +205,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _compatible(a: str, b: str):
     """Each of two members can be as large as the other, by the places where they meet."""
-    n_a, n_b = F.shiftright(F.col(a), 24), F.shiftright(F.col(b), 24)
+    n_a, n_b = F.shiftright(F.col(a), _BITS), F.shiftright(F.col(b), _BITS)
     low, top = F.lit(_LIMIT - 1), F.lit(T_DEN)
     return (F.col(a).bitwiseAND(low) >= n_b) & (F.col(b).bitwiseAND(low) >= n_a) & (
         top * n_a >= T_NUM * n_b) & (top * n_b >= T_NUM * n_a)
@@ -211,7 +213,7 @@ def _compatible(a: str, b: str):
 
 def _may_match(a: str, b: str, words: list[str] = BITMAP):
     """Bits that differ are tokens that differ, so they bound the overlap of two sets from above."""
-    n_a, n_b = F.shiftright(F.col(a), 24), F.shiftright(F.col(b), 24)
+    n_a, n_b = F.shiftright(F.col(a), _BITS), F.shiftright(F.col(b), _BITS)
     differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
     return (T_NUM + T_DEN) * (n_a + n_b - differ) >= 2 * T_NUM * (n_a + n_b)
 
