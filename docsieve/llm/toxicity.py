@@ -181,7 +181,10 @@ def remainder(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled rows outside the held-out fold, by a hash of the id: the same in any run."""
+    """A bounded sample of labelled rows outside the held-out fold, by a hash of the id: the same in any run.
+
+    An id gives one of its texts, however many rows share it, so at most 2 * ``sample`` texts reach the driver.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != HELD_OUT)).groupBy(
         "doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -190,7 +193,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
         part = known.where(F.col("toxic") == label).orderBy(*order).limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     # At most 2 * SAMPLE ids of 12 bytes.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy(
+        "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias(
+            "toxic")).toPandas()
     rows = rows.sort_values(["doc_id", "text"]).reset_index(drop=True)
     return rows["text"].fillna("").tolist(), rows["toxic"].astype(int).tolist()
 
