@@ -71,7 +71,7 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
 
 def with_shared_openings(turns: DataFrame, group: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
     """Conversations that open alike: c takes the first h turns of c - c % group in place of its own first h,
-    h = crc32(decimal c) % most; fewer if that conversation is shorter. Returns turns as from ``ordered_turns``
+    h = crc32(decimal c) % most; fewer if that conversation is shorter (% keeps the sign, as in SQL). Returns turns as from ``ordered_turns``
     and the ids of all conversations, of which some may have no turn left."""
     own = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
     base = (F.col("conv_id") - F.col("conv_id") % group).alias("base")

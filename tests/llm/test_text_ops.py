@@ -48,6 +48,28 @@ def plain_lcs(a, b):
     return t[n][m]
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<article><section title="The hidden valley"><p>a</p></section><p data-note="not hidden at all">b</p></article>',
+     ["a", "b"]),
+    ("<article><p>a <svg/> b</p><p>c <select><option>x</p><p>d</p></article>", ["a b", "c", "d"]),
+    ("<article><p>a <svg><text>x</text></svg> b</p><p>c <button>press</button> d <span class='ad'>buy</span> e</p></article>",
+     ["a b", "c d e"]),
+    *[(f'<div class="{c}"><article><p>a</p></article></div>', ["a"]) for c in (
+        "layout has-sidebar", "page-header-fixed", "post social-ready", "notice-of-award", "replies-to-critics", "sidebar")],
+    *[(f'<article class="{c}"><p>a</p></article>', ["a"]) for c in (
+        "layout has-sidebar", "page-header-fixed", "post social-ready", "notice-of-award", "replies-to-critics")],
+    ('<article><p>a</p><div class="ad-slot">x</div><div class="siteNav">y</div><ul id="share_buttons"><li>z</ul></article>',
+     ["a"]),
+    ('<article><p>a</p></article><div class="comments"><article><p>first!</p></article></div>', ["a"])])
+def test_attributes_names_and_unclosed_elements(page, want):
+    assert html_extract.article(html_extract.blocks(page)) == want
+
+
+def test_title_is_no_text():
+    found = html_extract.blocks("<html><head><title>The title</title></head><body><p>a</p></body></html>")
+    assert [b.text for b in found] == ["a"]
+
+
 def test_common_lines():
     rng = random.Random(2)
     for _ in range(300):
@@ -239,6 +261,29 @@ def test_report_finds_all_long_repeats(spark):
 
 # Toxicity ---------------------------------------------------------------------------------------------
 
+def test_rows_of_one_id_lose_only_their_own_text(spark):
+    """A shared id: the passage goes from the row that repeats it, and the other text of that id stays whole."""
+    passage = " ".join(f"alpha{i}" for i in range(120)) + "."
+    alone = " ".join(f"beta{i}" for i in range(140)) + "."
+    rows = [(1, passage), (5, alone), (5, "lead " + passage), (7, alone + " tail"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = substring_dedup.remove_repeats(docs).collect()
+    assert sorted((r.doc_id, len(r.text or "")) for r in left)[:1] == [(1, len(passage))]
+    both = sorted((r.text for r in left if r.doc_id == 5), key=len)
+    assert both[1] == alone and len(both[0]) <= len("lead ")
+    assert all(len(r.text or "") <= len(" tail") for r in left if r.doc_id == 7)
+    found = {(r.doc_id, tuple(r.kept_in)) for r in substring_dedup.report(docs).collect()}
+    assert found == {(5, (1,)), (7, (5,))}
+
+
+def test_an_id_with_many_rows_gives_one_training_text(spark):
+    docs = spark.createDataFrame([(0, f"text {i}") for i in range(500)] + [(2, None), (3, "x"), (5, "y")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    texts, toxic = toxicity.training_rows(docs, labels, sample=5)
+    assert len(texts) == len(toxic) <= 4 and sum(t.startswith("text") for t in texts) <= 1
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     known = docs.join(labels.select("doc_id", "toxic"), "doc_id")
