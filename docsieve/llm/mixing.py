@@ -125,8 +125,7 @@ def _plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
     fraction = F.col("rate") - F.floor("rate")
     units = units.withColumn("whole", F.floor("rate")).withColumn("mass", fraction * F.col("size"))
     blocks = F.ceil(F.col("n_docs") / BLOCK)
-    level = units.select("row", "doc_id", "size", "s", F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"),
-                         "mass")
+    level = _blocked(units.select("row", "doc_id", "size", "s", blocks.alias("blocks"), "mass"))
     settled = None
     height = _height(targets)
     for _ in range(height):
@@ -145,6 +144,24 @@ def _plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
         "taken", F.col("size") * F.col("copies"))
 
 
+def _blocked(units: DataFrame) -> DataFrame:
+    """row, doc_id, size, s, block, mass: the first blocks, by hash of id and size.
+
+    More than a block of rows alike in source, id and size, as of a null id, are dealt in turn over all blocks of their
+    source. They are interchangeable, so which of them comes where changes nothing.
+    """
+    hashed = F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks"))
+    alike = stage(units.groupBy("s", "doc_id", "size").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(
+        F.col("s").alias("_s"), F.col("doc_id").alias("_id"), F.col("size").alias("_size")), "alike")
+    fields = ["row", "doc_id", "size", "s"]
+    if alike.isEmpty():
+        return units.select(*fields, hashed.alias("block"), "mass")
+    same = (units["s"] == alike["_s"]) & units["doc_id"].eqNullSafe(alike["_id"]) & (units["size"] == alike["_size"])
+    turn = with_position(units.join(alike, same, "left_semi"), "s", "doc_id", "size").select(
+        *fields, F.pmod(F.col("position"), F.col("blocks")).alias("block"), "mass")
+    return units.join(alike, same, "left_anti").select(*fields, hashed.alias("block"), "mass").unionByName(turn)
+
+
 def _height(targets: DataFrame) -> int:
     most = targets.agg(F.max("n_docs")).first()[0] or 1
     blocks, levels = math.ceil(most / BLOCK), 1

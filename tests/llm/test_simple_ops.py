@@ -124,6 +124,25 @@ def test_mixing_is_unbiased():
     assert 500 < hits < 700
 
 
+def test_rows_alike_are_dealt_over_all_blocks(spark, monkeypatch):
+    """5000 rows of a null id and one size: no group of the fold holds them all, targets are met, reruns agree."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    docs = spark.range(6000).select(
+        F.when(F.col("id") >= 5000, F.col("id")).alias("doc_id"), F.lit("a").alias("source"),
+        F.when(F.col("id") >= 5000, F.lit("a b")).otherwise(F.lit("one two three")).alias("text"))
+    plan = mixing.mix(docs)
+    row = plan.agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n"),
+                   F.max(F.col("taken") - 2 * F.col("size")).alias("over")).first()
+    assert row.n == 6000 and abs(row.taken - row.target) < 3 and row.over <= 0
+    units = docs.select("doc_id", F.lit(3).alias("size"), F.lit(0).alias("s"), F.lit(94).alias("blocks"),
+                        F.monotonically_increasing_id().alias("row"), F.lit(1.0).alias("mass"))
+    most = mixing._blocked(units).groupBy("block").count().agg(F.max("count")).first()[0]
+    assert most < 64 + 40
+    counts = [sorted(tuple(r) for r in mixing.mix(d).groupBy("size", "copies").count().collect())
+              for d in (docs, docs.repartition(5))]
+    assert counts[0] == counts[1]
+
+
 def test_mixing_odd_rows(odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r.taken <= 2 * r.size for r in rows)
