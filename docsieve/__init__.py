@@ -9,6 +9,7 @@ from docsieve.operators.redact import flag_privacy, load_privacy_rules, mask_pri
 from docsieve.operators.validate import record_violations, validate
 from docsieve.plans.batch import BatchRun, read_stage_metrics, run_batch, stage_means
 from docsieve.plans.integrity import IntegrityBook
+from docsieve.plans.manifest import Manifest
 from docsieve.plans.mining import mined_keywords
 from docsieve.plans.process import audit_from_results, audit_records, payload, process
 from docsieve.plans.reprocess import decided, read_versions, reprocessed, write_version
@@ -17,7 +18,7 @@ from docsieve.sources.documents import from_text, from_uploads, read_files
 from docsieve.streaming.ingest import DirectoryStream, arrivals, ingest
 
 __all__ = [
-    "BatchRun", "Category", "DirectoryStream", "IntegrityBook", "Parsed", "RuleSet", "RuleStore",
+    "BatchRun", "Category", "DirectoryStream", "IntegrityBook", "Manifest", "Parsed", "RuleSet", "RuleStore",
     "arrivals", "audit_from_results", "audit_records", "classify", "classify_long", "decided", "explain_scores",
     "extract_fields", "flag_privacy", "from_text", "from_uploads", "gate", "ingest",
     "keyword_evidence", "load_privacy_rules", "load_rules", "mask_privacy", "mined_keywords",

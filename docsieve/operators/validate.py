@@ -58,6 +58,11 @@ _REQUIRED = ("document_id", "source_filename", "document_category", "classificat
              "predicted_category", "reviewer_correct_category")
 
 
+def checked_columns(df: DataFrame) -> list[str]:
+    """The columns that ``record_violations`` looks at."""
+    return [c for c in df.columns if c in _DOMAINS or c in _UNIT_INTERVAL or c in _REQUIRED]
+
+
 def record_violations(df: DataFrame) -> DataFrame:
     """Add an array naming every column whose value lies outside its domain; rows are kept."""
     checks = []

@@ -18,7 +18,7 @@ from docsieve.operators.fallback import Infer, apply_fallback, prompt
 from docsieve.operators.metadata import office_properties
 from docsieve.operators.parse import Parser, PropertyReader, parse_documents
 from docsieve.operators.redact import PrivacyRule, redacted
-from docsieve.operators.validate import validate
+from docsieve.operators.validate import record_violations, validate
 from docsieve.rules import RuleSet, load_rules
 
 # Messages and defaults that appear in records.
@@ -122,10 +122,27 @@ def _default(name: str, value: object, ddl: str | None = None) -> Column:
     return F.coalesce(F.col(name), literal.cast(ddl) if ddl else literal)
 
 
+def _failed() -> Column:
+    return F.coalesce(F.col("pipeline_error"), F.lit("")) != ""
+
+
+def checked_state(state: DataFrame) -> DataFrame:
+    """Add ``record_violations`` before payload defaults hide a missing value; a failed document has no record to check."""
+    return record_violations(state).withColumn("record_violations", F.when(
+        _failed(), F.array().cast("array<string>")).otherwise(F.col("record_violations")))
+
+
+def quarantined(state: DataFrame) -> DataFrame:
+    """Rows of a checked state that must not become results, as they are, with the columns at fault."""
+    kept = ("document_id", "source_filename", *_DECIDED, "extracted_fields", "validation_status", "validation_errors",
+            "processing_duration_ms", "record_violations")
+    return state.where(F.size("record_violations") > 0).select(*kept)
+
+
 def payload(state: DataFrame) -> DataFrame:
     """Result records. A document with a pipeline error has no payload."""
     fields = F.coalesce(F.col("extracted_fields"), F.create_map().cast("map<string,string>"))
-    return state.filter(F.coalesce(F.col("pipeline_error"), F.lit("")) == "").select(
+    return state.filter(~_failed()).select(
         _default("document_id", "").alias("document_id"),
         _default("source_filename", "").alias("source_filename"),
         _default("document_category", "unclassified").alias("document_category"),
