@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import components, pair_texts
-from docsieve.llm.words import WordHashes, mixed, shingle_set
+from docsieve.llm.words import folded, mixed, shingle_set, shingle_sets
 from docsieve.session import stage
 
 #: The threshold as a fraction, so that all bounds are whole numbers.
@@ -111,7 +111,7 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per row its set size and text digest (kind 0); per token that a task meets again, a count (kind 1)."""
-    cache, seen, held = WordHashes(), [], 0
+    seen, held = [], 0
     done: set[bytes] = set()
 
     def counted() -> pd.DataFrame:
@@ -122,9 +122,9 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            tokens = shingle_set(text, cache)
-            digest = hashlib.md5((text or "").encode("utf-8", "replace").lower()).digest()
+        texts = [folded(t) for t in batch["text"]]
+        for doc_id, text, tokens in zip(batch["doc_id"], texts, shingle_sets(texts)):
+            digest = hashlib.md5(text).digest()
             rows.append((0, doc_id, int.from_bytes(digest[:8], "big", signed=True),
                          int.from_bytes(digest[8:], "big", signed=True), len(tokens), *bitmap(tokens)))
             if digest not in done:
@@ -148,15 +148,16 @@ class _Index:
         self.frequent = frequent
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, done = WordHashes(), set()
+        done: set[bytes] = set()
         for batch in batches:
             sigs, ids, packed, held = [], [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                digest = hashlib.md5((text or "").encode("utf-8", "replace").lower()).digest()
-                if digest in done:
-                    continue
-                done.add(digest)
-                tokens = shingle_set(text, cache)
+            new = []
+            for doc_id, text in zip(batch["doc_id"], map(folded, batch["text"])):
+                digest = hashlib.md5(text).digest()
+                if digest not in done:
+                    done.add(digest)
+                    new.append((doc_id, text))
+            for (doc_id, _), tokens in zip(new, shingle_sets(t for _, t in new)):
                 if not len(tokens):
                     continue
                 sig, most = signatures(tokens, self.frequent)
@@ -226,14 +227,14 @@ def _with_bits(pairs: DataFrame, bits: DataFrame, sides: str = "ab") -> DataFram
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache, sets = WordHashes(), {}
+    sets: dict = {}
 
     def tokens(doc_id: int, text: str) -> np.ndarray:
         found = sets.get(doc_id)
         if found is None or found[0] != text:
             if len(sets) > 256:
                 sets.clear()
-            sets[doc_id] = found = (text, shingle_set(text, cache))
+            sets[doc_id] = found = (text, shingle_set(text))
         return found[1]
 
     for batch in batches:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsieve.llm import jaccard_join
-from docsieve.llm.words import WordHashes, shingle_set
+from docsieve.llm.words import _BLOCK, folded, shingle_set, shingle_sets, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,9 +114,37 @@ def test_odd_rows(odd_docs, no_docs):
 
 
 def test_set_of_long_text():
-    cache = WordHashes()
     text = " ".join(str(i) for i in range(50_000))
-    assert len(shingle_set(text, cache)) == 49_996
+    assert len(shingle_set(text)) == 49_996
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    rng = random.Random(3)
+    # Letters, blanks of all kinds, accents, and words above every length at which the hashing changes its way.
+    vocabulary = ["a", "A", "ab", "ba", "\u00e9", "\u00a0x", "\x00", "\x00\x00", "\x1cq", "\u4e2d\u6587", "z" * 512, "z" * 513,
+                  "y" * 700, "w" * (_BLOCK + 9), "\ud800"] + [f"v{i}" for i in range(300)]
+    blanks = " \t\n\x0b\x0c\r"
+    texts = [None, "", "  \n", "one", " a b  c d "]
+    for n in (3, 4, 5, 6, 40, 2000, 120_000):
+        few = vocabulary if n < 100 else vocabulary[:3] + vocabulary[15:]
+        texts.append("".join(rng.choice(few) + rng.choice(blanks) * rng.choice((1, 1, 3)) for _ in range(n)))
+    data = [folded(t) for t in texts]
+    known = {}
+    for d in data:
+        place, h = word_hashes(d)
+        assert [d[p:].split(None, 1)[0] for p in place[:50].tolist()] == d.split()[:50] and len(place) == len(d.split())
+        for word, value in zip(d.split(), h.tolist()):
+            assert known.setdefault(word, value) == value
+    assert len(set(known.values())) == len(known)
+    sets = list(shingle_sets(data))
+    shared = {}
+    for text, got in zip(texts, sets):
+        plain = plain_set((text or "").replace("\ud800", "?"))
+        assert len(got) == len(plain) and list(got) == sorted(set(got.tolist()))
+        assert got.tolist() == shingle_set(text).tolist()
+        shared[text] = plain
+    for i, j in ((8, 9), (9, 10), (10, 11)):
+        assert len(np.intersect1d(sets[i], sets[j])) == len(shared[texts[i]] & shared[texts[j]])
 
 
 def test_bitmap_never_rules_out_a_match():
