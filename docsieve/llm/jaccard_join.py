@@ -101,7 +101,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 BITMAP = [f"b{i}" for i in range(32)]
 #: A coarser bitmap, folded from it, for rows of which there are many.
 COARSE = [f"c{i}" for i in range(8)]
-_PROFILE = "kind int, doc_id bigint, key bigint, key2 bigint, n bigint, " + ", ".join(f"{b} bigint" for b in BITMAP)
+#: Sets from this size on fill both bitmaps evenly and have a third, as wide as the set is large.
+WIDE = 3000
+_PROFILE = "wide binary, kind int, doc_id bigint, key bigint, key2 bigint, n bigint, " + ", ".join(f"{b} bigint" for b in BITMAP)
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -109,6 +111,31 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_bitmap(tokens: np.ndarray) -> bytes:
+    """A parity bitmap of the least power of two bits that is no less than the number of tokens."""
+    bits = 1 << (len(tokens) - 1).bit_length()
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Bits that differ; the wider bitmap is folded to the width of the other, which keeps the parity."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _wide_match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bound of ``_may_match`` by wide bitmaps, where both sides have one."""
+    for batch in batches:
+        keep = [x is None or y is None or (T_NUM + T_DEN) * (n - _differing(x, y)) >= 2 * T_NUM * n
+                for x, y, n in zip(batch["wide_a"], batch["wide_b"], (batch["n_a"] + batch["n_b"]).tolist())]
+        yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
+
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per row its set size and text digest (kind 0); per token that a task meets again, a count (kind 1)."""
     seen, held = [], 0
@@ -117,7 +144,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def counted() -> pd.DataFrame:
         token, n = np.unique(np.concatenate(seen), return_counts=True)
         token, n = token[n > 1], n[n > 1]
-        return pd.DataFrame({"kind": 1, "doc_id": -1, "key": token.view(np.int64), "key2": 0, "n": n}
+        return pd.DataFrame({"wide": None, "kind": 1, "doc_id": -1, "key": token.view(np.int64), "key2": 0, "n": n}
                             | dict.fromkeys(BITMAP, 0))
 
     for batch in batches:
@@ -125,7 +152,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [folded(t) for t in batch["text"]]
         for doc_id, text, tokens in zip(batch["doc_id"], texts, shingle_sets(texts)):
             digest = hashlib.md5(text).digest()
-            rows.append((0, doc_id, int.from_bytes(digest[:8], "big", signed=True),
+            rows.append((wide_bitmap(tokens) if len(tokens) >= WIDE else None, 0, doc_id, int.from_bytes(digest[:8], "big", signed=True),
                          int.from_bytes(digest[8:], "big", signed=True), len(tokens), *bitmap(tokens)))
             if digest not in done:
                 done.add(digest)
@@ -134,7 +161,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if held > 4_000_000:
                 yield counted()
                 seen, held = [], 0
-        out = pd.DataFrame(rows, columns=["kind", "doc_id", "key", "key2", "n", *BITMAP])
+        out = pd.DataFrame(rows, columns=["wide", "kind", "doc_id", "key", "key2", "n", *BITMAP])
         out["doc_id"] = batch["doc_id"].astype("Int64").to_numpy()
         yield out
     if seen:
@@ -226,6 +253,16 @@ def _with_bits(pairs: DataFrame, bits: DataFrame, sides: str = "ab") -> DataFram
     return pairs
 
 
+def _promising(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that no bitmap rules out; no text is read for the others."""
+    known = profile.where("kind = 0 and n > 0 and doc_id is not null")
+    pairs = _with_bits(pairs, known).where(_may_match("packed_a", "packed_b")).select("a", "b").distinct()
+    for side in "ab":  # every row of an id, so that of rows with one id none is judged by another's size
+        pairs = pairs.join(known.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"),
+                                        F.col("wide").alias(f"wide_{side}")), side)
+    return pairs.mapInPandas(_wide_match, "a bigint, b bigint").distinct()
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sets: dict = {}
 
@@ -270,12 +307,11 @@ def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = rows.groupBy("key", "key2").agg(F.min("doc_id").alias("dst"), F.count("*").alias("m")).where("m > 1")
     copies = rows.join(first.drop("m"), ["key", "key2"]).select(F.col("doc_id").alias("src"), "dst").where(
         "src <> dst")
-    bits = profile.where("kind = 0 and n > 0 and doc_id is not null").select("doc_id", *BITMAP)
+    bits = rows.select("doc_id", *BITMAP)
     stars = shared.where("doc_id <> hub").where(_compatible("packed", "hub_packed")).groupBy(
         F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(
-        F.first("packed").alias("packed"), F.first("hub_packed").alias("hub_packed"))
-    stars = _with_bits(stars, bits).where(_may_match("hub_packed", "packed")).select("a", "b").distinct()
-    stars = stage(stars, "stars")
+        F.first("hub_packed").alias("packed_a"), F.first("packed").alias("packed_b"))
+    stars = stage(_promising(stars, profile), "stars")
     near = verified(stars, by_id).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     links = stage(copies.union(near), "links")
     group = components(links)
@@ -298,9 +334,7 @@ def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.first(F.when(first_a, F.col("packed_a")).otherwise(F.col("packed_b"))).alias("packed_a"),
         F.first(F.when(first_a, F.col("packed_b")).otherwise(F.col("packed_a"))).alias("packed_b"))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = _with_bits(cross.join(tried, ["a", "b"], "left_anti"), bits).where(
-        _may_match("packed_a", "packed_b")).select("a", "b").distinct()
-    cross = stage(cross, "cross")
+    cross = stage(_promising(cross.join(tried, ["a", "b"], "left_anti"), profile), "cross")
     more = verified(cross, by_id).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return profile.where("kind = 0").select("doc_id", "n"), links.union(stage(more, "links"))
 

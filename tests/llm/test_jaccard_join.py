@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,31 @@ def test_bitmap_never_rules_out_a_match():
         differ = sum(int(x).bit_count() for x in (
             jaccard_join.bitmap(a) ^ jaccard_join.bitmap(b)).view(np.uint64))
         assert differ <= len(np.setxor1d(a, b))
+
+
+def test_wide_bitmap_rules_out_unlike_long_sets_only():
+    rng = np.random.default_rng(6)
+    for n in (3000, 4096, 4097, 30_000):
+        a = rng.integers(0, 2 ** 64, n, dtype=np.uint64)
+        near = np.concatenate([a[:n - n // 8], rng.integers(0, 2 ** 64, n // 9, dtype=np.uint64)])
+        far = rng.integers(0, 2 ** 64, 4 * n // 5, dtype=np.uint64)
+
+        def kept(b, n=n, a=a):
+            batch = pd.DataFrame({"a": [1], "b": [2], "n_a": [n], "n_b": [len(b)], "wide_a": [
+                jaccard_join.wide_bitmap(a)], "wide_b": [jaccard_join.wide_bitmap(b)]})
+            return sum(map(len, jaccard_join._wide_match(iter([batch]))))
+
+        assert jaccard_join.similar(np.unique(a), np.unique(near)) and kept(near) == kept(a) == 1 and kept(far) == 0
+    one_side = pd.DataFrame({"a": [1], "b": [2], "n_a": [1], "n_b": [1], "wide_a": [None], "wide_b": [b"12345678"]})
+    assert len(next(jaccard_join._wide_match(iter([one_side])))) == 1
+
+
+def test_groups_by_wide_bitmaps(spark):
+    rows = texts(9, 120)
+    rng = random.Random(9)
+    long = " ".join(f"l{rng.randrange(900)}" for _ in range(4000))
+    rows += [(1000 + i, long.replace(f"l{i} ", f"m{i} ")) for i in range(4)]
+    rows += [(2000 + i, " ".join(f"l{rng.randrange(900)}" for _ in range(4000))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(df).collect()}
+    assert got == plain_groups(rows)
