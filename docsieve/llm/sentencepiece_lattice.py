@@ -25,6 +25,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -298,34 +300,57 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return folded.select("word", "splits", F.coalesce("found", _long_words(pieces)(long)).alias("found"))
 
 
+#: Characters looked up at a time, unless one text has more.
+_AT_ONCE = 2_000_000
+
+
 class _LookUp:
-    """Ids of each text, from the table of its split in the shared folder."""
+    """Ids of each text, from the table of its split in the shared folder, which stays in Arrow's compact form."""
 
     def __init__(self, folder: str, pattern: re.Pattern) -> None:
         self.folder, self.pattern = folder, pattern
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def _table(self, split: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words, and where the ids of each begin and end among all ids."""
         files, root = pyarrow.fs.FileSystem.from_uri(self.folder) if ":" in self.folder else (
             pyarrow.fs.LocalFileSystem(), self.folder)
-        split, table = None, {}
+        read = []
+        for item in files.get_file_info(pyarrow.fs.FileSelector(f"{root}/split={split}")):
+            if item.path.endswith(".parquet"):
+                with files.open_input_file(item.path) as file:
+                    read.append(pq.ParquetFile(file).read(["word", "found"]))
+        whole = pa.concat_tables(read).combine_chunks()
+        words, ids = whole["word"].chunk(0), whole["found"].chunk(0)
+        return words, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
+
+    def _ids(self, texts: list[str | None], table: tuple[pa.Array, np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        words, offset, ids = table
+        split = [split_text(t, self.pattern) for t in texts]
+        place = pc.index_in(pa.array(chain.from_iterable(split), words.type), words)
+        if place.null_count:
+            raise KeyError("a word of a text is missing in the table of its split")
+        place = place.to_numpy()
+        size = offset[place + 1] - offset[place]
+        end = np.cumsum(size)
+        found = ids[np.arange(end[-1]) + np.repeat(offset[place] - end + size, size)]
+        last = np.r_[0, end][np.cumsum([len(w) for w in split])]
+        return np.split(found, last[:-1])
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, table = None, None
         for batch in batches:
             for part, rows in batch.groupby("split", sort=False):
                 if part != split:
-                    split, table = part, {}
-                    place = f"{root}/split={split}"
-                    if any(t for t in rows["text"]):
-                        for item in files.get_file_info(pyarrow.fs.FileSelector(place)):
-                            if item.path.endswith(".parquet"):
-                                with files.open_input_file(item.path) as file:
-                                    read = pq.ParquetFile(file).read(["word", "found"])
-                                ids = read["found"].combine_chunks()
-                                # The ids of a word as bytes, a quarter of a list's memory.
-                                flat, at = ids.values.to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy() * 4
-                                for w, lo, hi in zip(read["word"].to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                                    table[w] = flat[lo:hi]
-                found = [np.frombuffer(b"".join(map(table.__getitem__, split_text(t, self.pattern))), np.int32)
-                         for t in rows["text"]]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "ids": found})
+                    split, table = part, None
+                chars = rows["text"].str.len().fillna(0).cumsum()
+                for _, some in rows.groupby(chars // _AT_ONCE, sort=False):
+                    texts = some["text"].tolist()
+                    if any(texts):
+                        table = table or self._table(split)
+                        ids = self._ids(texts, table)
+                    else:
+                        ids = [np.zeros(0, np.int32)] * len(texts)
+                    yield pd.DataFrame({"doc_id": some["doc_id"], "text": some["text"], "ids": ids})
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
