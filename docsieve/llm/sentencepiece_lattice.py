@@ -97,6 +97,18 @@ def split_text(text: str | None, pattern: re.Pattern = _WORD) -> list[str]:
     return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+#: Characters handled at a time, unless one text has more.
+_AT_ONCE = 1_000_000
+
+
+def _portions(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The split and some of its rows at a time, in order."""
+    for split, rows in batch.groupby("split", sort=False):
+        chars = rows["text"].str.len().fillna(0).cumsum()
+        for _, some in rows.groupby(chars // _AT_ONCE, sort=False):
+            yield split, some
+
+
 class _SplitWords:
     """The distinct words of each input split."""
 
@@ -107,7 +119,7 @@ class _SplitWords:
         seen: set[str] = set()
         split = None
         for batch in batches:
-            for part, rows in batch.groupby("split", sort=False):
+            for part, rows in _portions(batch):
                 if part != split:
                     split, seen = part, set()
                 new = set(chain.from_iterable(split_text(t, self.pattern) for t in rows["text"])) - seen
@@ -300,10 +312,6 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return folded.select("word", "splits", F.coalesce("found", _long_words(pieces)(long)).alias("found"))
 
 
-#: Characters looked up at a time, unless one text has more.
-_AT_ONCE = 2_000_000
-
-
 class _LookUp:
     """Ids of each text, from the table of its split in the shared folder, which stays in Arrow's compact form."""
 
@@ -339,18 +347,16 @@ class _LookUp:
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, table = None, None
         for batch in batches:
-            for part, rows in batch.groupby("split", sort=False):
+            for part, rows in _portions(batch):
                 if part != split:
                     split, table = part, None
-                chars = rows["text"].str.len().fillna(0).cumsum()
-                for _, some in rows.groupby(chars // _AT_ONCE, sort=False):
-                    texts = some["text"].tolist()
-                    if any(texts):
-                        table = table or self._table(split)
-                        ids = self._ids(texts, table)
-                    else:
-                        ids = [np.zeros(0, np.int32)] * len(texts)
-                    yield pd.DataFrame({"doc_id": some["doc_id"], "text": some["text"], "ids": ids})
+                texts = rows["text"].tolist()
+                if any(texts):
+                    table = table or self._table(split)
+                    ids = self._ids(texts, table)
+                else:
+                    ids = [np.zeros(0, np.int32)] * len(texts)
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "ids": ids})
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
