@@ -339,7 +339,7 @@ def failed_documents(spark: SparkSession, sf: str) -> DataFrame:
 def feedback_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Reviews written as JSON, once more after a failed attempt, and read back."""
     path = staging_path(spark, "feedback")
-    feedback = _feedback(spark, sf, _reviewed(spark, sf))
+    feedback = stage(_feedback(spark, sf, _reviewed(spark, sf)), "reviews")  # both writes read the one scored table
     for _ in range(2):
         write_feedback(feedback, path, "reviews", "overwrite")
     return spark.read.schema(FEEDBACK).json(path).groupBy("predicted_category", "reviewer_correct_category").agg(

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from catalog import queries
 from docsieve import keyword_evidence
 from docsieve.operators.redact import PrivacyRule, flag_privacy, load_privacy_rules, privacy_counts, redacted
 from docsieve.plans.quality import (
@@ -81,3 +82,20 @@ def test_privacy(spark):
     odd = (PrivacyRule("$1\\", r"\d+"),)
     assert spark.createDataFrame([("a 12",)], "t string").select(redacted(F.col("t"), odd).alias("t")).first().t == "a [$1\\]"
     assert spark.createDataFrame([("ABC-1 abc-2 XYZ-3",)], "t string").select(privacy_counts(F.col("t"), own).alias("n")).first().n.code == 2
+
+
+def test_reviews_are_scored_once_for_both_writes(spark, monkeypatch):
+    rows = [("a", "report", "Invoice Number 7, bill to"), ("b", "report", "quiet"), ("c", None, None)]
+    texts = spark.createDataFrame(rows, "doc_id string, expected_category string, text string")
+    plans = []
+
+    def write(feedback, *where):
+        plans.append(feedback._jdf.queryExecution().executedPlan().toString())
+        write_feedback(feedback, *where)
+
+    monkeypatch.setattr(queries, "corpus", lambda *_: texts)
+    monkeypatch.setattr(queries, "write_feedback", write)
+    got = {(r.predicted_category, r.reviewer_correct_category): r.documents for r in queries.feedback_sink(spark, "").collect()}
+    # A null text has no payload, so no review; the two others are in the sink once.
+    assert got == {("unclassified", "invoice"): 1, ("unclassified", "report"): 1}
+    assert len(plans) == 2 and not any("regexp_extract_all" in p or "Join" in p for p in plans)
