@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from docsieve import audit_records, classify, from_text, payload, process
+from catalog.corpus import by_customer, order_texts
+from docsieve import audit_records, classify, from_text, payload, process, session
 from docsieve.operators.classify import classify_long, explain_scores, keyword_evidence
 from docsieve.plans.quality import integrity_breaches
 from docsieve.session import spread, stage
@@ -75,3 +76,31 @@ def test_spread_and_stage(spark, tmp_path):
     staged = stage(docs, "docs")
     assert staged.count() == 20 and staged.schema == docs.schema
     assert spark.conf.get("spark.checkpoint.dir") in staged.inputFiles()[0]
+
+
+def test_spread_counts_rows_and_not_splits(spark, tmp_path, monkeypatch):
+    """All rows in one row group: as many splits as there are cores do not make them even."""
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(3).coalesce(1).write.mode("append").parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    assert spread(one, 2).rdd.getNumPartitions() == 11
+    assert spread(one, 2).count() == 103
+    assert spread(one.where("false"), 1).count() == 0
+
+
+def test_order_texts_keep_their_tasks_behind_the_join(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    orders = spark.range(200).selectExpr(
+        "id AS o_orderkey", "id % 40 AS o_custkey", "1.5D AS o_totalprice", "DATE'2024-01-02' AS o_orderdate",
+        "'1-URGENT' AS o_orderpriority").unionByName(spark.range(1).selectExpr(
+            "-1L AS o_orderkey", "NULL AS o_custkey", "1.5D AS o_totalprice", "DATE'2024-01-02' AS o_orderdate",
+            "'1-URGENT' AS o_orderpriority"))
+    customer = spark.range(40).selectExpr("id AS c_custkey", "'c' AS c_name", "1 AS c_nationkey")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = order_texts(orders, customer)
+        assert texts.rdd.getNumPartitions() == by_customer(orders)["orders"].rdd.getNumPartitions() == 21
+        assert texts.select("doc_id").distinct().count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
