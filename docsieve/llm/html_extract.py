@@ -1,15 +1,17 @@
 """Main text of HTML pages: page structure first, then differencing against the nearest URL of the host.
 
 A page is read into blocks of text. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are furniture. A page that marks its article (``article``, ``main``, or
-a role or class that says so) has that article as its text. Any other page is paired with its nearest neighbour by URL path on the same host; its
-blocks and the neighbour's are aligned by longest common subsequence, and shared blocks are deleted as template.
+scripts, styles and reader comments are furniture. Every page is paired with its nearest neighbour by URL path on the
+same host; its other blocks and the neighbour's are aligned by longest common subsequence, and shared blocks are
+template. A page that marks its article (``article``, ``main``, or a role or class that says so) has as its text the
+blocks of that article, less the template that most pages of the host repeat; any other page has all blocks that are no template.
 Pages of a host with the same blocks are one page here, decided once, so neighbours are never copies and copies get
 equal texts; pages that differ in any block are pages of their own, and what they share counts as template. The order by host and path is global and split into blocks of bounded size whose edges overlap, so a
 host may have any share of the pages; only hashes of blocks travel.
 
 Text differencing alone can't give the right article where, as in generated pages, furniture differs from page
-to page and articles share passages; hence structure decides wherever the page states it.
+to page and articles share passages; hence a declared article loses no passage that only some pages share, and never all
+its text.
 
 Defined cases: a null or empty html gives an empty text; a null or unparsable url has no host, so its page
 is not paired; repeated rows are pages of their own, and a copy of a page does not empty it.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,10 @@ from docsieve.session import stage
 
 #: Pages per block of the ordered pages; each block also sees one page before and one after.
 BLOCK = 256
+#: Different pages a host needs before a block in more than half of them counts as repeated by the host.
+LEAST_PAGES = 8
+#: Parts that the pages of a host are dealt to when they meet the blocks it repeats.
+_PARTS_OF_HOST = 16
 
 _SKIP = frozenset("script style noscript template head svg math iframe object select textarea button canvas video audio".split())
 _FURNITURE = frozenset("nav header footer aside form menu dialog".split())
@@ -184,6 +190,16 @@ def candidates(found: list[Block]) -> list[str]:
     return [b.text for b in found if not b.furniture]
 
 
+def text_lines(found: list[Block], template: Iterable[int], repeated: Iterable[int]) -> list[str]:
+    """The lines of the main text, from the places among the candidates of the template and of what the host repeats."""
+    lines = article(found)
+    if lines is None:
+        gone = set(template)
+        return [x for i, x in enumerate(candidates(found)) if i not in gone]
+    gone, open_blocks = set(repeated), [b for b in found if not b.furniture]
+    return [b.text for i, b in enumerate(open_blocks) if b.main and i not in gone] or lines
+
+
 def _lengths(a: list, where: dict, n: int) -> int:
     """Bit-parallel row of the longest common subsequence: zeros up to bit j count what ``a`` shares with b[:j+1]."""
     full = (1 << n) - 1
@@ -251,11 +267,8 @@ def _objects(arrays) -> np.ndarray:
 
 def _line_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        lines = []
-        for page in batch["html"]:
-            found = blocks(page)
-            lines.append(candidates(found) if article(found) is None else None)
-        keep = [x is not None and len(x) > 0 for x in lines]
+        lines = [candidates(blocks(page)) for page in batch["html"]]
+        keep = [len(x) > 0 for x in lines]
         lines = [x for x in lines if x]
         hashes = [np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) for x in a], np.uint64).view(np.int64)
                   for a in lines]
@@ -269,9 +282,9 @@ def _nearness(a: str, b: str) -> int:
 
 
 def _template(group: pd.DataFrame) -> pd.DataFrame:
-    """Lines to delete of each page of a block of neighbours, compared with the nearer of the two beside it."""
+    """Template lines of each page of a block of neighbours, by the nearer of the two beside it, and those its host repeats."""
     group = group.sort_values("position")
-    rows = list(group[["host", "page", "path", "lines", "own"]].itertuples(index=False))
+    rows = list(group[["host", "page", "path", "lines", "own", "often"]].itertuples(index=False))
     out = []
     for i, row in enumerate(rows):
         near = [rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows) and rows[j].host == row.host]
@@ -280,8 +293,19 @@ def _template(group: pd.DataFrame) -> pd.DataFrame:
         other = max(near, key=lambda r: _nearness(r.path, row.path))
         places = common_lines(row.lines.tolist(), other.lines.tolist())
         if places:
-            out.append((row.host, row.page, places))
-    return pd.DataFrame(out, columns=["host", "page", "drop"])
+            often = () if row.often is None else set(row.often.tolist())
+            out.append((row.host, row.page, places, [i for i in places if row.lines[i] in often]))
+    return pd.DataFrame(out, columns=["host", "page", "drop", "repeated"])
+
+
+def repeated_lines(pages: DataFrame) -> DataFrame:
+    """host, often: hashes of the lines in more than half of a host's different pages, if it has enough of them."""
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    seen = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(
+        F.count(F.lit(1)).alias("n")).where(2 * F.col("n") > LEAST_PAGES)
+    # Such lines are less than twice as many as a page has on average, so a host's set stays small.
+    return seen.join(sizes, "host").where(2 * F.col("n") > F.col("pages")).groupBy("host").agg(
+        F.collect_list("line").alias("often"))
 
 
 def _key():
@@ -291,7 +315,7 @@ def _key():
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """key, drop: the places of the template lines of each page that declares no article."""
+    """key, drop, repeated: the places of the template lines of each page, and of those that its host repeats."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]+)", 1))
     path = F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://[^/?#]+([^?#]*)", 1)
@@ -299,7 +323,10 @@ def template_lines(pages: DataFrame) -> DataFrame:
         _line_hashes, "key string, host string, path string, page string, lines array<bigint>").where(
         "host <> ''"), "lines")
     distinct = hashed.groupBy("host", "page").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
-    placed = with_position(distinct, "host", "path", "page")
+    often = repeated_lines(distinct).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS_OF_HOST - 1))))
+    known = distinct.withColumn("part", F.pmod(F.xxhash64("page"), F.lit(_PARTS_OF_HOST)).cast("int")).join(
+        often, ["host", "part"], "left").drop("part")
+    placed = with_position(known, "host", "path", "page")
     own = F.floor(F.col("position") / BLOCK)
     at = F.col("position") % BLOCK
     views = F.array_compact(F.array(
@@ -307,20 +334,16 @@ def template_lines(pages: DataFrame) -> DataFrame:
         F.when((at == 0) & (own > 0), F.struct((own - 1).alias("block"), F.lit(False).alias("own"))),
         F.when(at == BLOCK - 1, F.struct((own + 1).alias("block"), F.lit(False).alias("own")))))
     drops = placed.select("*", F.inline(views)).groupBy("block").applyInPandas(
-        _template, "host string, page string, drop array<int>")
-    return hashed.select("key", "host", "page").distinct().join(drops, ["host", "page"]).select("key", "drop")
+        _template, "host string, page string, drop array<int>, repeated array<int>")
+    return hashed.select("key", "host", "page").distinct().join(drops, ["host", "page"]).select("key", "drop", "repeated")
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = []
-        for page, drop in zip(batch["html"], batch["drop"]):
-            found = blocks(page)
-            lines = article(found)
-            if lines is None:
-                gone = set() if drop is None else set(drop)
-                lines = [x for i, x in enumerate(candidates(found)) if i not in gone]
-            texts.append("\n".join(lines))
+        for page, drop, repeated in zip(batch["html"], batch["drop"], batch["repeated"]):
+            texts.append("\n".join(text_lines(
+                blocks(page), () if drop is None else drop, () if repeated is None else repeated)))
         yield batch[["page_id", "url"]].assign(text=texts)
 
 
@@ -329,5 +352,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     drops = template_lines(pages)
     joined = pages.withColumn("key", _key()).join(drops, "key", "left")
-    return joined.select("page_id", "url", "html", "drop").mapInPandas(
+    return joined.select("page_id", "url", "html", "drop", "repeated").mapInPandas(
         _texts, "page_id bigint, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -105,6 +105,26 @@ def test_heavy_templates_and_runs_of_copies(spark):
     assert got == {i: f"short {i if i < 20 else 7}" for i, _, _ in rows}
 
 
+def test_differencing_reaches_declared_articles(spark):
+    """What most pages of a host repeat inside their article goes; what only some share, or a small host repeats, stays."""
+    def page(i, more=""):
+        return (f"<body><article><h1>Title {i}</h1><p>story {i}</p>{more}<p>Sign up for our letter</p></article>"
+                f"<div>Date {i}</div>")
+    rows = [(i, f"http://a.com/n/{i:02d}", page(i, "<p>a shared passage</p>" if i < 4 else "")) for i in range(12)]
+    rows += [(20 + i, f"http://b.com/n/{i}", page(i)) for i in range(3)]
+    rows += [(30 + i, f"http://c.com/n/{i:02d}", f"<article>all the same</article><div>Date {i}</div>") for i in range(9)]
+    rows += [(40 + i, f"http://d.com/{i}", page(1)) for i in range(9)]
+    rows += [(None, "http://a.com/n/13", None), (50, None, page(50))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\nstory {i}" + ("\na shared passage" if i < 4 else "")
+    assert all(got[20 + i] == f"Title {i}\nstory {i}\nSign up for our letter" for i in range(3))
+    assert all(got[30 + i] == "all the same" for i in range(9))
+    assert all(got[40 + i] == "Title 1\nstory 1\nSign up for our letter" for i in range(9))
+    assert got[None] == "" and got[50].endswith("Sign up for our letter")
+
+
 def test_page_query(spark):
     rows = QUERIES["op1_html_extraction"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select(
         "page_id", "html"), "page_id").collect()
