@@ -111,3 +111,14 @@ def test_ngrams_are_distinct_runs(spark):
     df = spark.createDataFrame([("A b, a-b",), ("",), (None,), ("x",)], "t string")
     assert [sorted(r.g) for r in df.select(ngrams(F.col("t"), 2).alias("g")).collect()] == [
         ["a", "a b", "b", "b a"], [], [], ["x"]]
+
+
+def test_ngrams_are_built_from_words_and_not_from_slices(spark):
+    """A slice and a join per n-gram made this step dearer than the scoring; texts shorter than a run have none of it."""
+    df = spark.createDataFrame([("",), (None,), ("One",), ("a b",), ("a b, a b a",), ("😀 é x-y",)], "t string")
+    grams = df.select("t", ngrams(F.col("t"), 3).alias("g"))
+    assert "array_join" not in grams._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.t: sorted(r.g) for r in grams.collect()} == {
+        "": [], None: [], "One": ["one"], "a b": ["a", "a b", "b"],
+        "a b, a b a": ["a", "a b", "a b a", "b", "b a", "b a b"],
+        "😀 é x-y": ["x", "x y", "y", "é", "é x", "é x y"]}
