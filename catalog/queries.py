@@ -15,7 +15,7 @@ from docsieve.functions.files import file_extension, is_watched, mime_type
 from docsieve.functions.markup import HTML_STEPS, html_text
 from docsieve.functions.rounding import round_exact
 from docsieve.operators.classify import (
-    classify, classify_long, explain_scores, extract_fields, field_map, keyword_evidence)
+    classify, classify_long, explain_scores, extract_fields, keyword_evidence)
 from docsieve.operators.fallback import ask_model
 from docsieve.operators.gate import gate_error
 from docsieve.operators.metadata import file_metadata, internal_kind
@@ -122,8 +122,8 @@ def custom_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Fields by patterns that are valid in Python and that Java refuses or reads in another way."""
     own = Category(slug="own", display_name="Own", threshold=0.5, primary=("a",), patterns=tuple(
         FieldPattern(name, pattern, group) for name, pattern, group in CUSTOM_PATTERNS))
-    found = corpus(spark, sf).select("doc_id", field_map(F.col("text"), F.lit("own"), RuleSet((own,))).alias("f"))
-    return found.select("doc_id", F.explode("f").alias("field", "value"))
+    found = extract_fields(corpus(spark, sf).withColumn("document_category", F.lit("own")), RuleSet((own,)))
+    return found.select("doc_id", F.explode("extracted_fields").alias("field", "value"))
 
 
 def mandatory_validation(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from catalog import queries
 from catalog.corpus import by_customer, order_texts
 from docsieve import audit_records, classify, from_text, payload, process, session
 from docsieve.operators.classify import classify_long, explain_scores, keyword_evidence
@@ -104,3 +105,15 @@ def test_order_texts_keep_their_tasks_behind_the_join(spark, monkeypatch):
         assert texts.select("doc_id").distinct().count() == 200
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fields_by_python_patterns_are_searched_once_and_behind_the_spreading(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([("a", "to the north of here. total 12"), ("b", ""), ("c", None)], "doc_id string, text string").write.parquet(
+        f"{tmp_path}/few")
+    few = spark.read.parquet(f"{tmp_path}/few")
+    monkeypatch.setattr(queries, "corpus", lambda spark, sf: few.repartition(3))
+    found = queries.custom_fields(spark, "")
+    text = plan(found)
+    assert text.count("ArrowEvalPython") == 1 and text.index("ArrowEvalPython") < text.index("Exchange")
+    assert {(r.doc_id, r.field, r.value) for r in found.collect()} == {
+        ("a", "count", "12"), ("a", "loop", "to the north of here")}
