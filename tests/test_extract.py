@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsieve.functions.regex import (
-    any_word_pattern, first_match, java_regex, py_strip, recursive_loops)
+    any_word_pattern, first_match, from_first_letter, java_regex, java_search, py_strip, recursive_loops)
 from docsieve.operators.classify import extract_fields
 from docsieve.operators.redact import PrivacyRule, privacy_counts, privacy_flags, redacted
 from docsieve.rules import Category, FieldPattern, RuleSet, load_rules
@@ -150,3 +150,21 @@ def test_privacy_rules_of_any_kind_mask_alike(spark):
             want = None if r.t is None else re.subn(pattern, "[M]", r.t)
             assert (r.r, r.n.m) == (want or (None, None)), (pattern, r.t)
             assert r.f == (["M"] if want and want[1] else [])
+
+
+LED = [r"(?i)(?:due|pay\s*by|terms?)[\s:]*([a-z0-9]+)", r"(cash|credit\s*card|kiss)", r"(?:sub|is)(\w)(\w)?", r"(?:a|b)(c)|x(d)",
+       r"(?:^|from\s)([a-z]+)", r"(?i)(?:in(?:voice)?\s)+(no)", r"(?:k|s)(?P<x>i)(?P=x)"]
+
+
+def test_patterns_led_by_a_letter_read_like_python(spark):
+    """The first letter is consumed before the rest is looked at; choices of whole patterns and anchored heads are not."""
+    values = ["", "Due: 7", "pay  by x terms: y", "credit card", "KISS", "kiſS", "subxy isz", "ac xd", "xd", "from here", "invoice in no",
+              "SİI", "kii sii", "\nterms\n9", "due", "İſue due due:ü1", "x" * 300 + "due 3"]
+    assert [from_first_letter(p) is not None for p in LED] == [True, True, True, False, False, True, True]
+    assert java_search(LED[0], group_only=True) != java_search(LED[0])
+    df = spark.createDataFrame(list(enumerate(values)), "id int, text string")
+    for n, p in enumerate(LED):
+        for group in (1, 2) if re.compile(p).groups > 1 else (1,):
+            for r in df.select("id", first_match(F.col("text"), p, group).alias("m")).collect():
+                m = re.search(p, values[r.id], re.IGNORECASE)
+                assert r.m == ((m.group(group) or "").strip() if m else ""), (p, values[r.id])

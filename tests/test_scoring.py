@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsieve.functions.rounding import round_exact
-from docsieve.functions.scoring import category_scores, keyword_hits, may_score
+from docsieve.functions.scoring import best_score, category_scores, keyword_hits, may_score, scored_best
 from docsieve.operators.classify import classify, classify_long, explain_scores, keyword_evidence
 from docsieve.rules import Category, RuleSet
 from tests import expected
@@ -177,3 +177,27 @@ def test_scores_stay_in_the_unit_interval(spark, rules):
     df = texts(spark, [" ".join(k for c in rules for k in (*c.primary, *c.secondary))])
     scores = df.select(category_scores(F.col("text"), rules).alias("s")).first().s
     assert all(0.0 <= s.confidence <= 1.0 for s in scores)
+
+
+def test_a_text_may_pass_by_its_beginning(spark, rules):
+    """The first pass takes the beginning of a long text before the whole; one that only the rest lets pass is found."""
+    rest = "nothing of any kind stands here. " * 30
+    values = [SAMPLES["invoice"] + rest, rest + SAMPLES["invoice"], rest, "é" * 200 + SAMPLES["contract"]]
+    may = may_score(F.lower("text"), rules)
+    assert "substr" in str(may)
+    rows = texts(spark, values).orderBy("id").select(may.alias("may")).collect()
+    assert [r.may for r in rows] == [True, True, False, True]
+    check(spark, rules, values)
+
+
+def test_the_best_score_is_that_of_all_categories(spark, rules):
+    """Only categories with enough primary words are scored, and of their scores only the best leaves the lambda."""
+    values = [*SAMPLES.values(), *OTHERS, *mixtures(rules, 60, 23)]
+    best = scored_best(F.col("text"), rules)
+    assert str(best).index("array_max") > str(best).index("regexp_extract_all")
+    rows = texts(spark, values).select(best.alias("best"), best_score(category_scores(F.col("text"), rules)).alias("want")).collect()
+    assert all(r.best == r.want for r in rows) and sum(r.best is not None for r in rows) > 20
+    for odd in (small_rules(min_primary=0), small_rules(primary=("ab", "ab", "b")), small_rules(primary=(), min_primary=0), RuleSet()):
+        rows = texts(spark, ["ab x", "x", "", "abc no"]).select(scored_best(F.col("text"), odd).alias("best"), best_score(
+            category_scores(F.col("text"), odd)).alias("want")).collect()
+        assert all(r.best == r.want for r in rows)
