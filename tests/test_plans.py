@@ -49,6 +49,19 @@ def test_long_form_is_one_shuffle(spark, rules, tmp_path):
     assert scans_of_text(plan(explain_scores(table(spark, tmp_path), rules))) == (0, 1)
 
 
+def test_long_form_shuffles_a_row_per_document(spark, rules, tmp_path):
+    """Not a row per hit and category: the evidence is several times as large as the hits of a document."""
+    path = f"{tmp_path}/twice"
+    spark.createDataFrame([("a", "invoice number, invoice date"), ("b", "nothing"), ("a", "invoice number, bill to"), ("c", None)],
+                          "doc_id string, text string").coalesce(1).write.parquet(path)
+    found = classify_long(spark.read.parquet(path), rules, "doc_id")
+    text = plan(found)
+    below = text[text.index("Exchange hashpartitioning"):]
+    assert "Join" in text and "Join" not in below and "text#" not in text[:text.index("Exchange hashpartitioning")]
+    row, = found.collect()
+    assert (row.doc_id, row.category) == ("a", "invoice") and row.matched.count("invoice number") == 2
+
+
 def test_evidence_joins_hits_not_texts(spark, rules, tmp_path):
     text = plan(keyword_evidence(table(spark, tmp_path), rules, "doc_id"))
     assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
