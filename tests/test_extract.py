@@ -153,14 +153,16 @@ def test_privacy_rules_of_any_kind_mask_alike(spark):
 
 
 LED = [r"(?i)(?:due|pay\s*by|terms?)[\s:]*([a-z0-9]+)", r"(cash|credit\s*card|kiss)", r"(?:sub|is)(\w)(\w)?", r"(?:a|b)(c)|x(d)",
-       r"(?:^|from\s)([a-z]+)", r"(?i)(?:in(?:voice)?\s)+(no)", r"(?:k|s)(?P<x>i)(?P=x)"]
+       r"(?:^|from\s)([a-z]+)", r"(?i)(?:in(?:voice)?\s)+(no)", r"(?:k|s)(?P<x>i)(?P=x)", r"(?:tax|gs?t|e-mail|ski)\W*(\w+)",
+       r"(?i)(?:tax|gst|ski)[\s:]*(\d+)"]
 
 
 def test_patterns_led_by_a_letter_read_like_python(spark):
     """The first letter is consumed before the rest is looked at; choices of whole patterns and anchored heads are not."""
     values = ["", "Due: 7", "pay  by x terms: y", "credit card", "KISS", "kiſS", "subxy isz", "ac xd", "xd", "from here", "invoice in no",
-              "SİI", "kii sii", "\nterms\n9", "due", "İſue due due:ü1", "x" * 300 + "due 3"]
-    assert [from_first_letter(p) is not None for p in LED] == [True, True, True, False, False, True, True]
+              "SİI", "kii sii", "gt 1 e-mail 2", "ſKİ: 1 ſkı 2 SKI 3", "taxgst 4 tax", "\nterms\n9", "due", "İſue due due:ü1", "x" * 300 + "due 3"]
+    assert [from_first_letter(p) is not None for p in LED] == [True, True, True, False, False, True, True, False, True]
+    assert from_first_letter(LED[-1]).startswith("(?i)[gst](?=[aks])(?<=")
     assert java_search(LED[0], group_only=True) != java_search(LED[0])
     df = spark.createDataFrame(list(enumerate(values)), "id int, text string")
     for n, p in enumerate(LED):
