@@ -1,7 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from docsieve.operators.redact import PrivacyRule, iban_valid, load_privacy_rules, luhn_valid, mask_privacy
+from docsieve.operators.redact import PrivacyRule, iban_valid, load_privacy_rules, luhn_valid, mask_privacy, privacy_spans
 
 RULES = (PrivacyRule("MAIL", "[a-z0-9]+@[a-z.]+"), PrivacyRule("CARD", "[0-9](?:[ -]?[0-9]){12,18}", "luhn"),
          PrivacyRule("IBAN", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "iban"), PrivacyRule("LONG", "[0-9]{8,}"),
@@ -47,3 +49,9 @@ def test_texts_are_not_rebuilt_letter_by_letter(spark):
     found = mask_privacy(df)
     assert "translate(" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.first().text == "[EMAIL] and [NATIONAL_ID]"
+
+
+def test_texts_are_freed_of_the_mark_once(spark):
+    """Not once for every rule."""
+    text = str(privacy_spans(F.col("text"), RULES))
+    assert len(re.findall(r"(?<!regexp_)replace\(", text)) == 1 and text.count("regexp_replace(") >= len(RULES)
