@@ -7,7 +7,7 @@ from catalog.corpus import by_customer, order_texts
 from docsieve import audit_records, classify, from_text, payload, process, session
 from docsieve.operators.classify import classify_long, explain_scores, keyword_evidence
 from docsieve.plans.quality import integrity_breaches
-from docsieve.session import spread, stage
+from docsieve.session import rows_per_split, spread, stage
 
 
 def table(spark, tmp_path):
@@ -120,6 +120,23 @@ def test_order_texts_keep_their_tasks_behind_the_join(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_dealing_the_orders_counts_them_and_runs_no_more(spark):
+    """Asking the dealt table for its partitions would shuffle all of it before the job begins."""
+    orders = spark.range(200).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey")
+    customer = spark.range(40).selectExpr("id AS c_custkey")
+
+    def jobs(group, act):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            act()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    counted = jobs("counting", lambda: rows_per_split(orders))
+    assert counted > 0 and jobs("dealing", lambda: by_customer(orders, customer)) == counted
+
+
 def test_fields_by_python_patterns_are_searched_once_and_behind_the_spreading(spark, tmp_path, monkeypatch):
     spark.createDataFrame([("a", "to the north of here. total 12"), ("b", ""), ("c", None)], "doc_id string, text string").write.parquet(
         f"{tmp_path}/few")
